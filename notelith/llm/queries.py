@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelith.llm import bpe
+from notelith.llm import bpe, confusables, format_dedup
 from notelith.runtime import table
 
 
@@ -23,9 +23,63 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.groupBy("same").agg(F.count("*").alias("documents"))
 
 
-_QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+LINE_FIELDS = ["AlbaranNumero", "Codigo", "Descripcion"]
+ARTICLE_FIELDS = ["Codigo", "Descripcion"]
 
-_SQL = {"p6_roundtrip": "SELECT TRUE AS same, count(*) AS documents FROM documents"}
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_dedup.copies_found(table(spark, sf_dir, "detail_lines"), "line_id", LINE_FIELDS)
+
+
+def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_dedup.collapse(table(spark, sf_dir, "detail_lines"), "line_id", LINE_FIELDS)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, articles = table(spark, sf_dir, "detail_lines"), table(spark, sf_dir, "articles")
+    return confusables.look_alikes(lines, articles, "line_id", "art_id", ARTICLE_FIELDS)
+
+
+def p3_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, articles = table(spark, sf_dir, "detail_lines"), table(spark, sf_dir, "articles")
+    return confusables.one_form(lines, articles, "line_id", ARTICLE_FIELDS)
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusables.groups_of_forms(table(spark, sf_dir, "detail_lines"), "Descripcion")
+
+
+_QUERIES = {
+    "p1_found": p1_found,
+    "p1_collapsed": p1_collapsed,
+    "p3_found": p3_found,
+    "p3_one_form": p3_one_form,
+    "p3_groups": p3_groups,
+    "p6_ids": p6_ids,
+    "p6_roundtrip": p6_roundtrip,
+}
+
+#: p1's canonical key. RE2 has no look-around: the decimal sign is marked twice for runs like 1,2,3.
+_P1_KEYS = r"""
+WITH v AS (SELECT line_id, [AlbaranNumero, Codigo, Descripcion] f FROM detail_lines
+           WHERE regexp_matches(AlbaranNumero, '[^\s\p{Z}\p{Cc}]') AND regexp_matches(Codigo, '[^\s\p{Z}\p{Cc}]')
+             AND regexp_matches(Descripcion, '[^\s\p{Z}\p{Cc}]')),
+s AS (SELECT line_id, list_reverse_sort(list_transform(f, lambda x: {
+        'n': length(regexp_replace(x, '[^\p{L}]', '', 'g')),
+        'p': regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]', '', 'g'),
+        'd': regexp_replace(regexp_replace(regexp_replace(lower(x), '(\p{Nd})[.,](\p{Nd})', '\1' || chr(1) || '\2', 'g'),
+             '(\p{Nd})[.,](\p{Nd})', '\1' || chr(1) || '\2', 'g'), '[^\p{L}\p{M}\p{N}\x01]', '', 'g')})) l FROM v),
+k AS (SELECT line_id, l[1].d || chr(2) || l[2].p || chr(2) || l[3].p AS key FROM s),
+g AS (SELECT line_id, key, min(line_id) OVER (PARTITION BY key) AS keep_id FROM k)
+"""
+
+_SQL = {
+    "p1_found": _P1_KEYS + "SELECT keep_id, line_id AS dup_id FROM g WHERE line_id <> keep_id",
+    "p1_collapsed": _P1_KEYS
+    + """SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id UNION ALL
+SELECT line_id, 1 FROM detail_lines WHERE line_id NOT IN (SELECT line_id FROM g)""",
+    "p6_roundtrip": "SELECT TRUE AS same, count(*) AS documents FROM documents",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
