@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelith.llm import bpe, confusables, format_dedup
+from notelith.llm import bpe, confusables, format_dedup, leakage
 from notelith.runtime import table
 
 
@@ -49,6 +49,17 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.groups_of_forms(table(spark, sf_dir, "detail_lines"), "Descripcion")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report by item: which test items leaked, into how many documents."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "suite")
+    counts = p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return items.join(counts, "item_id").select("item_id", "suite", "documents")
+
+
 _QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -57,6 +68,8 @@ _QUERIES = {
     "p3_groups": p3_groups,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
 }
 
 #: p1's canonical key. RE2 has no look-around: the decimal sign is marked twice for runs like 1,2,3.
