@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelith.llm import bpe, confusables, format_dedup, leakage
+from notelith.llm import bpe, confusables, format_dedup, leakage, quality
 from notelith.runtime import table
 
 
@@ -60,6 +60,17 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(counts, "item_id").select("item_id", "suite", "documents")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = quality.document_kinds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    return kinds.where(F.col("kind") != "prose").select("doc_id", "kind")
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.corpus_stats(table(spark, sf_dir, "documents"))
+    names = {"mean_word": "mean_word_length", "digit_ratio": "digit_ratio", "upper_ratio": "upper_ratio", "stop_lines": "stop_line_share", "common_words": "common_word_share"}
+    return stats.select("doc_id", F.col("words").cast("long").alias("words"), *(F.round(a, 6).alias(b) for a, b in names.items()))
+
+
 _QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -70,6 +81,8 @@ _QUERIES = {
     "p6_roundtrip": p6_roundtrip,
     "p7_found": p7_found,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 
 #: p1's canonical key. RE2 has no look-around: the decimal sign is marked twice for runs like 1,2,3.
@@ -86,7 +99,27 @@ k AS (SELECT line_id, l[1].d || chr(2) || l[2].p || chr(2) || l[3].p AS key FROM
 g AS (SELECT line_id, key, min(line_id) OVER (PARTITION BY key) AS keep_id FROM k)
 """
 
+_COMMON = sorted({w for words in quality.COMMON_WORDS.values() for w in words.split()})
+
+_P8_STATS = (
+    r"""
+WITH d AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) t FROM documents),
+p AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '') w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]')) l,
+             length(regexp_replace(t, '[^\p{L}\p{M}]', '', 'g')) letters, length(regexp_replace(t, '[^\p{N}]', '', 'g')) digits,
+             length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) uppers, length(regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g')) shown
+      FROM d)
+SELECT doc_id, len(w) AS words, round(shown / greatest(len(w), 1), 6) AS mean_word_length,
+       round(digits / greatest(shown, 1), 6) AS digit_ratio, round(uppers / greatest(letters, 1), 6) AS upper_ratio,
+       round(len(list_filter(l, lambda x: regexp_matches(x, '[.?!…][\s\x0b\x1c-\x1f\x{85}\p{Z}]*$'))) / greatest(len(l), 1), 6) AS stop_line_share,
+       round(len(list_filter(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]', '', 'g') IN ("""
+    + ", ".join(f"'{w}'" for w in _COMMON)
+    + """))) / greatest(len(w), 1), 6) AS common_word_share
+FROM p"""
+)
+
 _SQL = {
+    "p8_stats": _P8_STATS,
     "p1_found": _P1_KEYS + "SELECT keep_id, line_id AS dup_id FROM g WHERE line_id <> keep_id",
     "p1_collapsed": _P1_KEYS
     + """SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id UNION ALL
