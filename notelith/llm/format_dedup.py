@@ -7,9 +7,8 @@ tested where it lies: only possible repeats are shuffled and grouped by their ex
 
 Scale: the filter has ``BITS_PER_ROW`` bits for each row up to ``MAX_FILTER_BITS`` (32 MB), which bounds what a task
 holds and what is broadcast. Where rows are so many that it would let most of them through (``LEAST_BITS_PER_ROW``), no
-filter is built and every record is grouped exactly. Groups are counted with map-side combining; the keys of groups
-above ``HOT_GROUP`` copies (their number is bounded by rows / HOT_GROUP, and so checked) reach their members by
-broadcast, so that no task gets a whole hot group.
+filter is built and every record is grouped exactly. Groups are counted with map-side combining, and no task gets a
+whole hot group (``join_by_key``).
 
 Defined cases
 -------------
@@ -31,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelith.operators.skew import join_by_key
 from notelith.runtime import durable
 
 BITS_PER_ROW = 16
@@ -38,8 +38,6 @@ LEAST_BITS_PER_ROW = 4
 MAX_FILTER_BITS = 1 << 28
 #: Words of 64 bits in one piece of the filter.
 SEGMENT = 1 << 13
-HOT_GROUP = 100_000
-MAX_HOT_KEYS = 10_000
 _DECIMAL = "\u0001"
 _BETWEEN = "\u0002"
 
@@ -172,12 +170,7 @@ def copies_found(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(keep_id, dup_id): each further record of a group with the group's smallest id."""
     candidates = durable(split_repeats(keyed(df, id_col, fields))[0].select("id", "key"))
     groups = durable(_groups(candidates).where(F.col("copies") > 1))
-    hot_from = max(HOT_GROUP, candidates.count() // MAX_HOT_KEYS)
-    hot = F.broadcast(groups.where(F.col("copies") > hot_from).select("key", "keep_id"))  # MAX_HOT_KEYS rows at most
-    of_hot = candidates.join(hot, "key")
-    others = candidates.join(F.broadcast(groups.where(F.col("copies") > hot_from).select("key")), "key", "left_anti")
-    of_others = others.join(groups.where(F.col("copies") <= hot_from).select("key", "keep_id"), "key")
-    pairs = of_hot.unionByName(of_others).where(F.col("id") != F.col("keep_id"))
+    pairs = join_by_key(candidates, groups, "key", "copies", candidates.count()).where(F.col("id") != F.col("keep_id"))
     return pairs.select("keep_id", F.col("id").alias("dup_id"))
 
 

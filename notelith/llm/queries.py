@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelith.llm import bpe, confusables, format_dedup, leakage, quality
+from notelith.llm import bpe, confusables, format_dedup, leakage, listings, quality
 from notelith.runtime import table
 
 
@@ -49,6 +49,14 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.groups_of_forms(table(spark, sf_dir, "detail_lines"), "Descripcion")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.same_product_pairs(table(spark, sf_dir, "catalog_listings"))
+
+
+def p5_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.products(table(spark, sf_dir, "catalog_listings"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -77,6 +85,8 @@ _QUERIES = {
     "p3_found": p3_found,
     "p3_one_form": p3_one_form,
     "p3_groups": p3_groups,
+    "p5_found": p5_found,
+    "p5_products": p5_products,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
     "p7_found": p7_found,
