@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
@@ -23,6 +24,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it occurs there: keeps long chains from growing."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trim_ws(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), rf"^{WS}+", ""), rf"{WS}+$", "")
 
@@ -108,7 +114,7 @@ def strip_counter(c: Column | str) -> Column:
 
 def join_code_parts(c: Column | str) -> Column:
     """'ABC 12345' is one token."""
-    return F.regexp_replace(col(c), r"\b([A-Za-z]{2,}) ([0-9]{3,})\b", "$1$2")
+    return F.regexp_replace(col(c), r"(^|[^\p{L}\p{N}_])([A-Za-z]{2,}) ([0-9]{3,})($|[^\p{L}\p{N}_])", "$1$2$3$4")
 
 
 def keywords(c: Column | str, stop: list[str], n: int = 5) -> Column:
@@ -140,7 +146,7 @@ def append_tokens(existing: Column | str, tokens: Column) -> Column:
     return F.array_join(F.array_distinct(F.concat(there, tokens)), ";")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def repair_mojibake(texts):
     """UTF-8 read as Latin-1, read again; unchanged where that fails. Not expressible as a column."""
     import pyarrow as pa
