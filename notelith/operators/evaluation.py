@@ -15,7 +15,8 @@ from notelith.runtime import durable
 def amount_key(c: Column | str, digits: int = 2) -> Column:
     """Amounts as texts of fixed decimals; '' for a missing one."""
     x = tx.col(c)
-    return F.coalesce(F.format_string(f"%.{digits}f", F.round(F.when(F.isnan(x), None).otherwise(x).cast("decimal(24,8)"), digits)), F.lit(""))
+    exact = F.round(F.when(F.isnan(x), None).otherwise(x).cast("decimal(24,8)"), digits)
+    return F.coalesce(exact.cast(f"decimal(24,{digits})").cast("string"), F.lit(""))
 
 
 def composite_key(parts: list[str]) -> Column:

@@ -178,10 +178,10 @@ SELECT {keys}, CAST(s AS DOUBLE) AS SumaImportesLineas, n AS NetoComercialPie, t
 def _kpis(by: str, source: str) -> str:
     return f"""WITH l AS (SELECT *, CAST(try_strptime({sql_date("FechaAlbaran", "-/.")}, '%d/%m/%Y') AS DATE) AS tag_day FROM {source}),
 c AS (SELECT {by}, Parser, count(*) n FROM l WHERE Parser IS NOT NULL GROUP BY ALL),
-p AS (SELECT {by}, Parser FROM c QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY n DESC, Parser) = 1)
-SELECT l.{by}, any_value(p.Parser) AS Parser, count(DISTINCT Pdf) AS pdfs, count(DISTINCT (Pdf, Pagina)) AS pages, count(DISTINCT (Proveedor, AlbaranNumero)) AS notes, count(*) AS lines,
+p AS (SELECT {by} AS p_by, Parser AS p_parser FROM c QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY n DESC, Parser) = 1)
+SELECT l.{by}, any_value(p_parser) AS Parser, count(DISTINCT Pdf) AS pdfs, count(DISTINCT (Pdf, Pagina)) AS pages, count(DISTINCT (Proveedor, AlbaranNumero)) AS notes, count(*) AS lines,
   CAST(coalesce(sum(CAST(Importe AS DECIMAL(18, 4))), 0) AS DOUBLE) AS amount, count(*) FILTER (trim(ParseWarn) <> '') AS warned,
-  strftime(min(tag_day), '%d/%m/%Y') AS first_day, strftime(max(tag_day), '%d/%m/%Y') AS last_day FROM l LEFT JOIN p ON p.{by} = l.{by} GROUP BY l.{by}"""
+  strftime(min(tag_day), '%d/%m/%Y') AS first_day, strftime(max(tag_day), '%d/%m/%Y') AS last_day FROM l LEFT JOIN p ON p_by = l.{by} GROUP BY l.{by}"""
 
 
 _KEYED = f"""keyed AS (SELECT *, nullif({sql_key("Proveedor")}, '') prov, nullif({sql_key("SuPedidoCodigo")}, '') sup,
