@@ -66,6 +66,11 @@ def flatten_separators(c: Column | str) -> Column:
     return tx.trim_ws(F.regexp_replace(out, r"\s+", " "))
 
 
+def _group(text: Column, pattern: Column, i: int) -> Column:
+    """A group of a pattern that is itself a column."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(i))
+
+
 def _number_at(numbers: Column, name: str) -> Column:
     """The number of a name by the order that fits their count."""
     cases = None
@@ -88,18 +93,18 @@ def extract_rows(pages: DataFrame, layouts: DataFrame, key: list[str], supplier:
     table = lines.join(layouts.where("kind = 'rows'"), "supplier").withColumns({"line": flatten_separators("line")})
     folded = tx.fold_upper("line")
     w = Window.partitionBy(*key)
-    starts = (F.col("start") != "") & folded.rlike(F.col("start"))
+    starts = (F.col("start") != "") & F.call_function("rlike", folded, F.col("start"))
     from_ = F.when(F.col("start") == "", F.lit(-1)).otherwise(F.min(F.when(starts, F.col("ln"))).over(w))
     table = table.withColumn("_from", from_)
-    stops = (F.col("ln") > F.col("_from")) & folded.rlike(F.col("stop"))
+    stops = (F.col("ln") > F.col("_from")) & F.call_function("rlike", folded, F.col("stop"))
     table = table.withColumn("_to", F.min(F.when(stops, F.col("ln"))).over(w))
     inside = table.where((F.col("ln") > F.col("_from")) & (F.col("_to").isNull() | (F.col("ln") < F.col("_to"))))
-    is_row = F.regexp_extract("line", F.col("row"), 1) != ""
+    is_row = _group(F.col("line"), F.col("row"), 1) != ""
     order = w.orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     counted = inside.withColumns({"is_row": is_row, "item": F.sum(F.when(is_row, 1).otherwise(0)).over(order)}).where("item > 0")
     more = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_row"), F.struct("ln", "line")))), lambda x: x["line"]), " ")
     merged = counted.groupBy(*key, "supplier", "item").agg(F.max(F.when(F.col("is_row"), F.struct("line", "row", "warning"))).alias("r"), more.alias("more"))
-    part = lambda i: F.regexp_extract(F.col("r.line"), F.col("r.row"), i)
+    part = lambda i: _group(F.col("r.line"), F.col("r.row"), i)
     read = merged.select(*key, "supplier", "item", part(1).alias("code"), part(2).alias("d"), F.split(F.trim(part(3)), " ").alias("n"), "more", F.col("r.warning").alias("warning"))
     return read.select(
         *key, "supplier", "item", "code", F.concat_ws(" ", "d", F.nullif("more", F.lit(""))).alias("description"),
@@ -111,7 +116,7 @@ def extract_pages(pages: DataFrame, layouts: DataFrame, key: list[str], supplier
     """(key..., supplier, note, order_code, date, total) of every page: the header fields, or the one row of a page layout."""
     folded = tx.fold_upper(F.coalesce(F.col(text), F.lit("")))
     joined = pages.select(*key, F.col(supplier).alias("supplier"), folded.alias("_t")).join(layouts, "supplier")
-    first = lambda p: F.nullif(F.regexp_extract("_t", F.col(p), 1), F.lit(""))
+    first = lambda p: F.nullif(_group(F.col("_t"), F.col(p), 1), F.lit(""))
     return joined.select(
         *key, "supplier", "kind", first("note").alias("note"), first("order_code").alias("order_code"),
         F.nullif(dates.parse_date_es("_t"), F.lit("")).alias("date"), numeric.to_float_es(first("total")).alias("total"), "warning",
