@@ -68,14 +68,15 @@ def reconcile_last_line(lines: DataFrame, meta: DataFrame, key: list[str], order
     The last line is found by an aggregate, not by a window, so a note of any length is no single task.
     """
     place = F.struct(*order)
-    footers = meta.groupBy(*key).agg(F.max("NetoComercialPie").alias("footer"))
-    sums = lines.groupBy(*key).agg(F.sum(money("Importe")).alias("line_sum"), F.max(place).alias("last"), F.count("*").alias("n"))
-    gap = F.round(money("footer") - F.col("line_sum"), 2)
-    small = (gap != 0) & (F.abs(gap) <= F.greatest(F.lit(least), F.abs("footer") * share))
-    moved = sums.join(footers, key).where(small).select(*key, "last", gap.cast("double").alias("gap"))
-    joined = lines.withColumn("_p", place).join(moved.withColumnRenamed("last", "_l"), key, "left")
-    hit = F.col("_p").eqNullSafe(F.col("_l")) & F.col("gap").isNotNull()
-    return joined.withColumn("adjusted", F.when(hit, F.round(money("Importe") + money("gap"), 2).cast("double")).otherwise(F.col("Importe"))).drop("_p", "_l", "gap")
+    footers = meta.groupBy(*key).agg(F.max("NetoComercialPie").alias("_footer"))
+    sums = lines.groupBy(*key).agg(F.sum(money("Importe")).alias("_sum"), F.max(place).alias("_last"))
+    gap = F.round(money("_footer") - F.col("_sum"), 2)
+    small = (gap != 0) & (F.abs(gap) <= F.greatest(F.lit(least), F.abs("_footer") * share))
+    moved = sums.join(footers, key).where(small).select(*key, "_last", gap.alias("_gap"))
+    joined = lines.withColumn("_p", place).join(moved, key, "left")
+    hit = F.col("_p").eqNullSafe(F.col("_last")) & F.col("_gap").isNotNull()
+    adjusted = F.when(hit, F.round(money("Importe") + F.col("_gap"), 2).cast("double")).otherwise(F.col("Importe"))
+    return joined.withColumn("adjusted", adjusted).drop("_p", "_last", "_gap")
 
 
 def sole_line_amount(lines: DataFrame, meta: DataFrame, key: list[str]) -> DataFrame:

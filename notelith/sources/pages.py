@@ -62,7 +62,7 @@ def page_counts(pages: DataFrame) -> DataFrame:
 
 def read_page_dumps(spark: SparkSession, path: str) -> DataFrame:
     """(pdf, page, text) of dumps <pdf>/p<nn>_lines.txt below a folder."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "p*_lines.txt").text(path)
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "p*_lines.txt").text(path, wholetext=True)
     at = F.col("_metadata.file_path")
     found = read.select(F.regexp_extract(at, r"([^/]+)/p[0-9]+_lines\.txt$", 1).alias("pdf"), F.regexp_extract(at, r"/p([0-9]+)_lines\.txt$", 1).try_cast("int").alias("page"), F.col("value").alias("text"))
     return found.withColumn("pdf", F.call_function("url_decode", "pdf"))
@@ -70,7 +70,7 @@ def read_page_dumps(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, page, text) of text files whose pages are parted by form feeds."""
-    read = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return read.select("path", F.posexplode(F.split("value", "\f")).alias("n", "text")).select("path", (F.col("n") + 1).alias("page"), "text")
 
 
