@@ -19,7 +19,7 @@ from notelith.functions import dates, numeric
 from notelith.functions import text as tx
 from notelith.operators.pages import explode_lines
 
-CODE = r"[A-Z0-9][A-Z0-9./-]{2,}"
+CODE = r"(?:[A-Z]{2,3} [0-9]{2} [0-9]{3,5}|[A-Z0-9][A-Z0-9./-]{2,})"
 NUMBER = r"-?[0-9][0-9.]*(?:,[0-9]+)?"
 #: Orders of the numbers at the end of a row, by how many there are.
 NUMBER_ORDERS = {

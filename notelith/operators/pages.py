@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notelith.functions import text as tx
 
@@ -18,25 +21,21 @@ def explode_lines(pages: DataFrame, key: list[str], text: str) -> DataFrame:
     return pages.select(*key, F.posexplode(tx.lines_of(text)).alias("ln", "line"))
 
 
+@F.arrow_udf(T.DoubleType())
+def _bits(texts: pa.Array) -> pa.Array:
+    """Bits per character. Counting a text's characters with array functions costs a sort of boxed values per row."""
+    out = np.zeros(len(texts))
+    for i, text in enumerate(texts.to_pylist()):
+        if text:
+            counts = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)[1]
+            share = counts / counts.sum()
+            out[i] = -(share * np.log2(share)).sum()
+    return pa.array(out)
+
+
 def entropy(c: Column | str) -> Column:
     """Bits per character, white space left out; 0 for a text without characters. Within the row, no shuffle."""
-    shown = F.regexp_replace(F.coalesce(tx.col(c), F.lit("")), tx.WS, "")
-    n = F.length(shown).cast("double")
-    chars = F.array_sort(F.split(shown, ""))
-    # Runs of the sorted characters: (character before, run so far, sum of run * log2(run)).
-    start = F.struct(F.lit("").alias("ch"), F.lit(0).cast("bigint").alias("run"), F.lit(0.0).alias("s"))
-    part = lambda run: F.when(run > 0, run * F.log2(run.cast("double"))).otherwise(0.0)
-
-    def step(acc: Column, ch: Column) -> Column:
-        same = acc["ch"] == ch
-        return F.struct(
-            ch.alias("ch"),
-            F.when(same, acc["run"] + 1).otherwise(F.lit(1).cast("bigint")).alias("run"),
-            F.when(same, acc["s"]).otherwise(acc["s"] + part(acc["run"])).alias("s"),
-        )
-
-    total = F.aggregate(F.filter(chars, lambda x: x != ""), start, step, lambda acc: acc["s"] + part(acc["run"]))
-    return F.when(n > 0, F.log2(n) - total / n).otherwise(F.lit(0.0))
+    return _bits(F.regexp_replace(F.coalesce(tx.col(c), F.lit("")), tx.WS, ""))
 
 
 def text_metrics(text: str, area: Column | float = PAGE_AREA) -> dict[str, Column]:
