@@ -121,7 +121,7 @@ p AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\s\x0b\x1c-\x1f\x
       FROM d)
 SELECT doc_id, len(w) AS words, round(shown / greatest(len(w), 1), 6) AS mean_word_length,
        round(digits / greatest(shown, 1), 6) AS digit_ratio, round(uppers / greatest(letters, 1), 6) AS upper_ratio,
-       round(len(list_filter(l, lambda x: regexp_matches(x, '[.?!…][\s\x0b\x1c-\x1f\x{85}\p{Z}]*$'))) / greatest(len(l), 1), 6) AS stop_line_share,
+       round(len(list_filter(l, lambda x: regexp_matches(x, '[.?!…。！？؟।][\s\x0b\x1c-\x1f\x{85}\p{Z}]*$'))) / greatest(len(l), 1), 6) AS stop_line_share,
        round(len(list_filter(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]', '', 'g') IN ("""
     + ", ".join(f"'{w}'" for w in _COMMON)
     + """))) / greatest(len(w), 1), 6) AS common_word_share
