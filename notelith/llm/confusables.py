@@ -110,8 +110,8 @@ def one_form(records: DataFrame, reference: DataFrame, record_id: str, fields: l
 
 
 def groups_of_forms(records: DataFrame, field: str) -> DataFrame:
-    """(skeleton, forms, records): the texts that look the same, where they are written in more than one way."""
+    """(skeleton in composed form, forms, records): the texts that look the same, where they are written in more than one way."""
     texts = records.select(F.col(f"`{field}`").alias("text")).where(F.col("text").isNotNull())
-    forms = texts.groupBy("text").agg(F.count("*").alias("n")).withColumn("skeleton", skeleton(F.col("text")))
+    forms = texts.groupBy("text").agg(F.count("*").alias("n")).withColumn("skeleton", shown(F.col("text")))
     grouped = forms.groupBy("skeleton").agg(F.count("*").alias("forms"), F.sum("n").alias("records"))
     return grouped.where(F.col("forms") > 1)

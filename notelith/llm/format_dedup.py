@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def repeat_filter(hashes: DataFrame, bits: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, again = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
-        some, task = False, int(np.random.default_rng().integers(0, 1 << 30))
+        some, task = False, TaskContext.get().partitionId()  # the same if the task runs again
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -128,7 +128,30 @@ SELECT doc_id, len(w) AS words, round(shown / greatest(len(w), 1), 6) AS mean_wo
 FROM p"""
 )
 
+_LOOKS = {k: v for t in (confusables.CYRILLIC, confusables.GREEK, confusables.ARMENIAN, confusables.SIGNS) for k, v in t.items()}
+_LOOKS |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
+
+
+def _skeleton_sql(x: str) -> str:
+    """The skeleton in composed form; the rules for rarer characters aren't needed for these tables."""
+    a, b = ("".join(part).replace("'", "''") for part in zip(*_LOOKS.items(), strict=True))
+    return f"nfc_normalize(regexp_replace(replace(replace(translate(nfc_normalize({x}), '{a}', '{b}'), 'ﬂ', 'fl'), 'ﬁ', 'fi'), '\\p{{Cf}}', '', 'g'))"
+
+
+_P3 = f"""
+WITH l AS (SELECT line_id, Codigo, Descripcion, {_skeleton_sql("Codigo")} sc, {_skeleton_sql("Descripcion")} sd FROM detail_lines),
+a AS (SELECT art_id, Codigo, Descripcion, {_skeleton_sql("Codigo")} sc, {_skeleton_sql("Descripcion")} sd FROM articles)
+"""
+
 _SQL = {
+    "p3_found": _P3
+    + "SELECT line_id, art_id FROM l JOIN a ON a.sc = l.sc AND a.sd = l.sd WHERE l.Codigo <> a.Codigo OR l.Descripcion <> a.Descripcion",
+    "p3_one_form": _P3
+    + """, r AS (SELECT sc, sd, min((Codigo, Descripcion)) x FROM a GROUP BY sc, sd)
+SELECT line_id, coalesce(x[1], l.sc) AS Codigo, coalesce(x[2], l.sd) AS Descripcion FROM l LEFT JOIN r ON r.sc = l.sc AND r.sd = l.sd""",
+    "p3_groups": _P3
+    + """, f AS (SELECT sd, Descripcion, count(*) n FROM l WHERE Descripcion IS NOT NULL GROUP BY ALL)
+SELECT sd AS skeleton, count(*) AS forms, sum(n) AS records FROM f GROUP BY sd HAVING count(*) > 1""",
     "p8_stats": _P8_STATS,
     "p1_found": _P1_KEYS + "SELECT keep_id, line_id AS dup_id FROM g WHERE line_id <> keep_id",
     "p1_collapsed": _P1_KEYS
