@@ -170,7 +170,23 @@ best AS (SELECT doc_id, max(score) FILTER (same) here, max(score) anywhere FROM
 audit AS (SELECT r.doc_id, CASE WHEN here >= 2 THEN 'FOUND_SAME_PAGE' WHEN anywhere >= 2 THEN 'FOUND_OTHER_PAGE' WHEN anywhere IS NULL THEN 'NO_PDF_DUMP' WHEN here IS NULL THEN 'NO_PAGE_DUMP' ELSE 'NOT_FOUND_OCR' END AS status,
   coalesce(anywhere, 0) AS score FROM rows_ r LEFT JOIN best b ON b.doc_id = r.doc_id)"""
 
+_TIERS = [["Pdf", "Pagina", "Codigo", "amount"], ["AlbaranNumero", "Codigo"], ["Proveedor", "Descripcion"]]
+
+
+def _greedy() -> str:
+    order = "Pdf, Pagina, " + _ORDER + ", SuPedidoCodigo NULLS FIRST"
+    ctes = [f"{n}0 AS (SELECT *, row_number() OVER (ORDER BY {order}) id, {_AMOUNT} amount FROM {store})" for n, store in (("r", _R), ("m", _M))]
+    for i, key in enumerate(_TIERS):
+        usable = " AND ".join(f"coalesce(CAST({k} AS VARCHAR), '') <> ''" for k in key)
+        placed = "(SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY Linea, id) p FROM {n}{i} WHERE {u})"
+        a, b = (placed.format(k=", ".join(key), n=n, i=i, u=usable) for n in "rm")
+        ctes.append(f"t{i} AS (SELECT a.id rid, b.id mid FROM {a} a JOIN {b} b ON a.p = b.p AND {' AND '.join(f'a.{k} = b.{k}' for k in key)})")
+        ctes += [f"{n}{i + 1} AS (SELECT * FROM {n}{i} WHERE id NOT IN (SELECT {n}id FROM t{i}))" for n in "rm"]
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT {i} AS tier, count(*) AS matches FROM t{i}" for i in range(len(_TIERS)))
+
+
 SQL = {
+    "greedy_match": _greedy(),
     "pred_truth_left_join": _COMPARED + f" SELECT {_KEYS}, updated_at, {', '.join(f'ok_{f}' for f in FIELDS)}, ok FROM d",
     "accuracy_by_supplier": _COMPARED + f" SELECT Proveedor, count(*) AS total, count(*) FILTER (ok) AS ok, {sql_round('count(*) FILTER (ok) * 100 / count(*)', 2)} AS pct FROM d GROUP BY Proveedor",
     "top3_mismatches": _COMPARED
