@@ -42,3 +42,21 @@ def year_from_path(path: Column | str, year: Column | str, reach: int = 3) -> Co
     """The year in a file's path if it lies near the one that was read, else the one read."""
     named = F.regexp_extract(col(path), r"(20[0-9]{2})", 1).try_cast("int")
     return F.when(F.abs(named - col(year)) <= reach, named).otherwise(col(year))
+
+
+# Months as they start, by number.
+MONTHS = {"ENE": 1, "FEB": 2, "MAR": 3, "ABR": 4, "MAY": 5, "JUN": 6, "JUL": 7, "AGO": 8, "SEP": 9, "OCT": 10, "NOV": 11, "DIC": 12, "JAN": 1, "APR": 4, "AUG": 8, "DEC": 12}
+_WORDS = r"(?i)([0-9]{1,2})\s*(?:de\s+)?(" + "|".join(MONTHS) + r")[a-z]*\.?\s*(?:del?\s+)?([0-9]{4})"
+
+
+def parse_date_words(c: Column | str) -> Column:
+    """'3 de febrero de 2025' -> '03/02/2025'; without one what ``parse_date_es`` finds."""
+    text = F.coalesce(col(c), F.lit(""))
+    d, m, y = (F.regexp_extract(text, _WORDS, i) for i in (1, 2, 3))
+    table = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
+    return F.when(d != "", _format(d, F.try_element_at(table, F.upper(m)), y)).otherwise(parse_date_es(c))
+
+
+def default_date(c: Column | str, other: Column | str) -> Column:
+    """A date, or the one to take where there is none."""
+    return F.coalesce(F.nullif(F.trim(col(c)), F.lit("")), col(other))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from notelith.functions.text import col
+from notelith.functions.text import col, fix_glyphs
 
 #: Price units behind a slash.
 UNIT_FACTORS = {"U": 1, "D": 10, "C": 100, "M": 1000, "P": 1000}
@@ -80,3 +80,25 @@ def split_price_discount(digits: Column | str, quantity: Column | str, amount: C
 def small_value(c: Column | str, most: float = 5.0) -> Column:
     """A recycling fee: positive and small."""
     return (col(c) > 0) & (col(c) < most)
+
+
+def split_quantities(block: Column | str, rows: Column | str) -> Column:
+    """Quantities of several rows written together: as many tokens as rows, or one digit as often as there are rows; else null."""
+    text = F.trim(F.regexp_replace(col(block), r"\s+", " "))
+    tokens = F.split(text, " ")
+    same = text.rlike(r"^([0-9])\1*$") & (F.length(text) == col(rows))
+    each = F.when(same, F.filter(F.split(text, ""), lambda x: x != "")).when(F.size(tokens) == col(rows), tokens)
+    return F.transform(each, to_float_es)
+
+
+def fuzzy_decimals(c: Column | str) -> Column:
+    """Numbers with decimals among the tokens of a line, with letters for digits put right: struct(place, value)."""
+    tokens = F.split(F.trim(F.regexp_replace(col(c), r"\s+", " ")), " ")
+    placed = F.transform(tokens, lambda t, i: F.struct(i.alias("place"), F.when(t.rlike("[0-9]"), fix_glyphs(t)).otherwise(t).alias("t")))
+    hits = F.filter(placed, lambda x: x["t"].rlike(r"^-?[0-9][0-9.]*,[0-9]{1,4}$"))
+    return F.transform(hits, lambda x: F.struct(x["place"].alias("place"), to_float_es(x["t"]).alias("value")))
+
+
+def per_hundred(price: Column | str, text: Column | str) -> Column:
+    """A price that the line marks as one for a hundred, for one."""
+    return F.when(col(text).rlike(r"\(100\)|/C\b|%\s*U"), col(price) / 100).otherwise(col(price))

@@ -158,3 +158,28 @@ def repair_mojibake(texts):
             return x
 
     return pa.array([fix(x) for x in texts.to_pylist()], pa.string())
+
+
+def strip_noise_prefix(c: Column | str) -> Column:
+    """Marks and lone letters that recognition puts in front of a line: '| . ~ a)' and the like, as often as they come."""
+    return F.regexp_replace(col(c), r"^(?:[|~_.,:;'*=\-]+\s*|[a-z]\)\s*)+", "")
+
+
+def contains_all_of(c: Column | str, groups: list[list[str]]) -> Column:
+    """Whether all words of one group stand in a text: headings, telephone lines and other lines that are no rows."""
+    folded = fold_upper(c)
+    hit = F.lit(False)
+    for words in groups:
+        all_ = F.lit(True)
+        for w in words:
+            all_ = all_ & folded.contains(w)
+        hit = hit | all_
+    return F.coalesce(hit, F.lit(False))
+
+
+def text_in_box(words: Column | str, x0: float, top: float, x1: float, bottom: float) -> Column:
+    """The words whose middle lies in a box, from top to bottom and from left to right."""
+    x, y = lambda w: (w["x0"] + w["x1"]) / 2, lambda w: (w["top"] + w["bottom"]) / 2
+    inside = F.filter(col(words), lambda w: (x(w) >= x0) & (x(w) <= x1) & (y(w) >= top) & (y(w) <= bottom))
+    ordered = F.array_sort(F.transform(inside, lambda w: F.struct(F.round(w["top"]).alias("t"), w["x0"].alias("x"), w["text"].alias("text"))))
+    return F.array_join(F.transform(ordered, lambda w: w["text"]), " ")

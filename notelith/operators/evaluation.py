@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelith.functions import numeric
 from notelith.functions import text as tx
+from notelith.operators.rows import place_in_group
 from notelith.runtime import durable
 
 
@@ -47,7 +48,7 @@ def accuracy(compared: DataFrame, by: str) -> DataFrame:
 
 def numbered(df: DataFrame, key: list[str], order: list[str], name: str = "place") -> DataFrame:
     """Rows of a key counted from 0."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    return place_in_group(df, key, order, name).withColumn(name, F.col(name) - 1)
 
 
 def missing_and_extra(pred: DataFrame, truth: DataFrame, key: list[str], order: list[str]) -> DataFrame:

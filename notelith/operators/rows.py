@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelith.functions import text as tx
+from notelith.operators.skew import HOT_ROWS, join_by_key
 from notelith.runtime import durable
 
 DETAIL_TEXT = [
@@ -65,6 +70,25 @@ def global_index(df: DataFrame, order: list[str]) -> DataFrame:
     return placed.withColumn("idx", F.element_at(shift, part) + F.col("_id").bitwiseAND(F.lit(mask)) + 1).drop("_id")
 
 
+def largest_group(df: DataFrame, key: list[str]) -> int:
+    return df.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def place_in_group(df: DataFrame, key: list[str], order: list[str], name: str = "place", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``name``: rows of a key counted from 1 in an order.
+
+    A window while no key has more than ``hot_rows`` rows. Beyond that the rows are numbered over sorted ranges, and the
+    number at which a key starts is taken off: a hot key lies in many ranges.
+    """
+    if largest_group(df, key) <= hot_rows:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    group = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
+    indexed = durable(global_index(df.withColumn("_g", group), [*key, *order]))
+    starts = indexed.groupBy("_g").agg(F.min("idx").alias("_first"), F.count("*").alias("_n"))
+    joined = join_by_key(indexed, starts, "_g", "_n", indexed.count(), hot_rows)
+    return joined.withColumn(name, (F.col("idx") - F.col("_first") + 1).cast("int")).select(*df.columns, name)
+
+
 def placeholder_codes(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows with quantity and amount but no code get UNK_<supplier>_<place in the whole run> and a warning."""
     lacks = missing("Codigo") & F.col("CantidadServida").isNotNull() & F.col("Importe").isNotNull()
@@ -91,8 +115,7 @@ def merge_stages(df: DataFrame, key: list[str], order: list[str], stage: str, he
     Rows of a stage are counted in order, rows of one place are candidates: other stages before the base one. Header
     fields come from the base stage, a warning is the first that isn't null, other fields the first that isn't missing.
     """
-    per_stage = Window.partitionBy(*key, stage).orderBy(*order)
-    placed = df.withColumn("_place", F.row_number().over(per_stage))
+    placed = place_in_group(df, [*key, stage], order, "_place")
     fields = [c for c in df.columns if c not in key]
     kinds = dict(df.dtypes)
     rank = F.struct((F.col(stage) == "base").alias("b"), F.col(stage).alias("s"))
@@ -119,14 +142,76 @@ def fill_known(df: DataFrame, known: DataFrame, key: list[str], fields: list[str
     return joined.withColumns({f: F.coalesce(F.col(f), F.col(f"_k.{f}")) for f in fields}).drop("_k")
 
 
-def fill_forward(df: DataFrame, part: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """Blank fields from the nearest row before; ``weak_location`` says that one of them was blank."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def fill_forward(df: DataFrame, part: list[str], order: list[str], fields: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Blank fields from the nearest row before; ``weak_location`` says that one of them was blank.
+
+    A window while no part has more than ``hot_rows`` rows; beyond that sorted ranges, each with what the ranges before
+    it leave open.
+    """
     blank = F.lit(False)
     for f in fields:
         blank = blank | missing(f)
-    filled = {f: F.last(F.when(~missing(f), F.col(f)), ignorenulls=True).over(w) for f in fields}
-    return df.withColumn("weak_location", blank).withColumns(filled)
+    marked = df.withColumn("weak_location", blank).withColumns({f: F.when(~missing(f), F.col(f)) for f in fields})
+    if largest_group(df, part) > hot_rows:
+        return _fill_ranges(marked, part, order, fields)
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumns({f: F.last(f, ignorenulls=True).over(w) for f in fields})
+
+
+def _fill_ranges(df: DataFrame, part: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    ranged = durable(df.repartitionByRange(*part, *order).sortWithinPartitions(*part, *order).withColumn("_p", F.spark_partition_id()))
+    keys, n = len(part), len(part) + len(fields)
+
+    def run(rows: Iterator[tuple], key: tuple | None, held: list) -> Iterator[tuple[tuple, list]]:
+        for row in rows:
+            if row[:keys] != key:
+                key, held = row[:keys], [None] * len(fields)
+            held = [b if b is not None else a for a, b in zip(held, row[keys:n], strict=True)]
+            yield key, held
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a range leaves open: its last key and values, and whether it is of that key alone."""
+        key, held, first, p = None, [None] * len(fields), None, None
+        for batch in batches:
+            for k, held_ in run(zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True), key, held):
+                key, held, first = k, held_, first if first is not None else k
+            p = batch.column(n)[0].as_py() if batch.num_rows else p
+        if p is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([repr(key)]), pa.array([key == first]), pa.array([held], pa.list_(pa.string()))], names=["p", "key", "alone", "held"])
+
+    texts = [F.col(c).cast("string").alias(c) for c in (*part, *fields)]
+    ends = ranged.select(*texts, "_p").mapInArrow(tails, "p int, key string, alone boolean, held array<string>").collect()  # one row a partition
+    open_: dict[int, tuple[str, list]] = {}
+    key, held = None, [None] * len(fields)
+    for e in sorted(ends, key=lambda e: e.p):
+        if key is not None:
+            open_[e.p] = (key, held)
+        same = e.alone and e.key == key
+        held = [b if b is not None else a for a, b in zip(held, e.held, strict=True)] if same else list(e.held)
+        key = e.key
+    names = [f.name for f in ranged.schema.fields]
+    at = [names.index(c) for c in part], [names.index(f) for f in fields]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, started = None, [None] * len(fields), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [pc.cast(batch.column(i), pa.string()).to_pylist() for i in (*at[0], *at[1])]
+            if not started:
+                before = open_.get(batch.column(names.index("_p"))[0].as_py())
+                first = tuple(c[0] for c in cols[:keys])
+                if before and before[0] == repr(first):
+                    key, held = first, before[1]
+                started = True
+            found = list(run(zip(*cols, strict=True), key, held))
+            key, held = found[-1]
+            arrays = list(batch.columns)
+            for j, i in enumerate(at[1]):
+                arrays[i] = pa.array([h[j] for _, h in found], pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return ranged.mapInArrow(fill, ranged.schema).drop("_p")
 
 
 def explode_embedded(df: DataFrame, text: str, pattern: str, groups: list[str]) -> DataFrame:
@@ -155,6 +240,5 @@ def last_value(part: list[str], order: str, value: Column, reach: int) -> Column
 
 def zip_by_place(a: DataFrame, b: DataFrame, key: list[str], order_a: list[str], order_b: list[str], how: str = "inner") -> DataFrame:
     """Rows of both sides with one key, first with first, second with second (a queue, first in first out)."""
-    pa = a.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order_a)))
-    pb = b.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order_b)))
-    return pa.join(pb, [*key, "place"], how)
+    first, second = place_in_group(a, key, order_a), place_in_group(b, key, order_b)
+    return first.join(second, [*key, "place"], how)

@@ -10,6 +10,8 @@ from notelith.functions import text as tx
 from notelith.operators import pages
 from notelith.runtime import table
 
+MONTH_NAMES = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
+GUARDS = [["ALBARAN", "HOJA"], ["FECHA", "PEDIDO"], ["ATENCION"]]
 STOP_WORDS = ["PARA", "TIPO", "SERIE", "COLOR"]
 ORDER_PATTERNS = [r"pedido ([0-9A-Z][0-9A-Z/.-]*)", r"commande ([0-9A-Z][0-9A-Z/.-]*)", r"order ([0-9A-Z][0-9A-Z/.-]*)", r"encomenda ([0-9A-Z][0-9A-Z/.-]*)"]
 RULES = [
@@ -193,11 +195,46 @@ def note_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def date_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Note dates written with the month as a word, read back."""
+    day = dates.as_date("FechaAlbaran")
+    months = F.array(*(F.lit(m) for m in MONTH_NAMES))
+    words = F.concat(F.dayofmonth(day), F.lit(" de "), F.element_at(months, F.month(day)), F.lit(" de "), F.year(day))
+    return _lines(spark, sf_dir).select("line_id", dates.parse_date_words(F.coalesce(words, "FechaAlbaran")).alias("date"), dates.default_date("FechaAlbaran", F.lit("-")).alias("given"))
+
+
+def fuzzy_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals of the lines' texts in which recognition put letters for digits."""
+    misread = F.translate("Descripcion", "05", "OS")
+    found = _lines(spark, sf_dir).select("line_id", F.explode(numeric.fuzzy_decimals(misread)).alias("f"))
+    return found.select("line_id", "f.place", F.round("f.value", 4).alias("value"))
+
+
+def quantity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three quantities of a line written as one block, taken apart again."""
+    three = ["CantidadPedida", "CantidadServida", "CantidadPendiente"]
+    block = F.concat_ws("  ", *(F.replace(F.col(c).cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")) for c in three))
+    found = F.aggregate(numeric.split_quantities(block, F.lit(3)), F.lit(0.0), lambda a, x: a + x)
+    return _lines(spark, sf_dir).select("line_id", F.round(found.cast("decimal(18,2)"), 2).cast("double").alias("total"))
+
+
+def line_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are headings or contacts, and lines without the noise in front."""
+    lines = pages.explode_lines(_docs(spark, sf_dir), ["doc_id"], "text")
+    guarded = lines.select("doc_id", tx.contains_all_of("line", GUARDS).alias("guard"), "line", tx.strip_noise_prefix("line").alias("bare"))
+    return guarded.groupBy("doc_id").agg(F.count_if("guard").alias("guards"), F.sum(F.length("line") - F.length("bare")).alias("noise"))
+
+
+def price_per_hundred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.when(F.col("UnidadesPor") == 100, F.concat("Descripcion", F.lit(" (100)"))).otherwise(F.col("Descripcion"))
+    return _lines(spark, sf_dir).select("line_id", F.round(numeric.per_hundred("PrecioUnitario", F.coalesce(marked, F.lit(""))), 6).alias("price"))
+
+
 QUERIES = {f.__name__: f for f in (
     normalize_spaces, fold_upper, key_tokens, glyph_repair, first_match_extract, first_match_lines, decimals_in_line, header_index, strip_counters,
     text_metrics, text_entropy, ocr_trigger_reasons, union_text_variants, to_float_es, collapse_numbers, money_round, calc_amount, effective_quantity,
     unit_factor, split_glued, parse_date_es, date_from_code, year_from_path, order_code_clean, order_code_truncate, order_code_normalize,
-    order_code_suffix, code_quality_score, note_plausibility,
+    order_code_suffix, code_quality_score, note_plausibility, date_words, fuzzy_decimals, quantity_blocks, line_guards, price_per_hundred,
 )}
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
@@ -392,4 +429,15 @@ SELECT line_id, CASE WHEN contains(v, '.') AND NOT (regexp_matches(v, '^[0-9]{{2
     "note_plausibility": f"""SELECT line_id, {_NOTE} AS note, coalesce(length(regexp_replace(AlbaranNumero, '[^0-9]', '', 'g')) >= 5, FALSE) AS is_note,
   regexp_matches({_NOTE}, '^(19|20)[0-9]{{2}}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$') AS is_date,
   regexp_matches(regexp_replace({_NOTE}, '[^0-9]', '', 'g'), '^10[0-9]{{7}}$') AS is_phone FROM detail_lines""",
+    "date_words": f"""SELECT line_id, CASE WHEN try_strptime(FechaAlbaran, '%d/%m/%Y') IS NOT NULL AND regexp_matches(FechaAlbaran, '^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$') THEN FechaAlbaran
+  ELSE {sql_date("FechaAlbaran")} END AS date, coalesce(nullif(trim(FechaAlbaran), ''), '-') AS given FROM detail_lines""",
+    "fuzzy_decimals": f"""WITH t AS (SELECT line_id, string_split(trim(regexp_replace(translate(Descripcion, '05', 'OS'), '\\s+', ' ', 'g')), ' ') t FROM detail_lines),
+u AS (SELECT line_id, unnest(range(len(t))) place, unnest(t) t FROM t),
+v AS (SELECT line_id, place, CASE WHEN regexp_matches(t, '[0-9]') THEN translate(t, '{tx.GLYPHS[0]}', '{tx.GLYPHS[1]}') ELSE t END t FROM u)
+SELECT line_id, CAST(place AS INT) AS place, round(CAST(replace(replace(t, '.', ''), ',', '.') AS DOUBLE), 4) AS value FROM v WHERE regexp_matches(t, '^-?[0-9][0-9.]*,[0-9]{{1,4}}$')""",
+    "quantity_blocks": """SELECT line_id, CAST(CAST(CantidadPedida AS DECIMAL(18, 2)) + CAST(CantidadServida AS DECIMAL(18, 2)) + CAST(CantidadPendiente AS DECIMAL(18, 2)) AS DOUBLE) AS total FROM detail_lines""",
+    "line_guards": f"""WITH {LINES_SQL}, g AS (SELECT doc_id, line, {" OR ".join("(" + " AND ".join(f"contains({sql_fold('line')}, '{w}')" for w in ws) + ")" for ws in GUARDS)} guard,
+  regexp_replace(line, '^(?:[|~_.,:;''*=\\-]+\\s*|[a-z]\\)\\s*)+', '') bare FROM lines)
+SELECT doc_id, count(*) FILTER (guard) AS guards, sum(length(line) - length(bare)) AS noise FROM g GROUP BY doc_id""",
+    "price_per_hundred": """SELECT line_id, round(CASE WHEN UnidadesPor = 100 AND Descripcion IS NOT NULL OR regexp_matches(coalesce(Descripcion, ''), '\\(100\\)') THEN PrecioUnitario / 100 ELSE PrecioUnitario END, 6) AS price FROM detail_lines""",
 }

@@ -119,3 +119,31 @@ def test_repaired_footer(spark):
     lines = spark.createDataFrame([("n", 1, 10.0), ("n", 2, 20.0), ("m", 3, 100.0)], "n string, i int, Importe double")
     meta = spark.createDataFrame([("n", 31.0), ("m", 500.0)], "n string, NetoComercialPie double")
     assert {r.i: r.adjusted for r in totals.reconcile_last_line(lines, meta, ["n"], ["i"]).collect()} == {1: 10.0, 2: 21.0, 3: 100.0}
+
+
+def test_hot_groups_by_ranges(spark):
+    """Places and fills are the same by a window and by sorted ranges, with keys over several ranges."""
+    import random
+
+    r = random.Random(1)
+    data = [(r.choice(["hot"] * 8 + ["a", "b", None]), i, r.choice([None, None, None, "", "x", "y", "z"]), float(i)) for i in range(3000)]
+    df = spark.createDataFrame(data, "k string, o int, v string, n double").repartition(7)
+    by = lambda found: sorted(map(tuple, found.collect()), key=str)
+    assert by(rows.place_in_group(df, ["k"], ["o"])) == by(rows.place_in_group(df, ["k"], ["o"], hot_rows=100))
+    columns = ["k", "o", "v", "n", "weak_location"]
+    assert by(rows.fill_forward(df, ["k"], ["o"], ["v"]).select(*columns)) == by(rows.fill_forward(df, ["k"], ["o"], ["v"], hot_rows=100).select(*columns))
+    assert rows.fill_forward(df.where("false"), ["k"], ["o"], ["v"]).collect() == []
+
+
+def test_box_and_guards(spark):
+    from notelith.functions import dates, numeric
+    from notelith.functions import text as tx
+
+    words = [("b", 50.0, 60.0, 10.0, 20.0), ("a", 10.0, 20.0, 10.2, 20.0), ("c", 10.0, 20.0, 40.0, 50.0), ("out", 500.0, 510.0, 10.0, 20.0)]
+    df = spark.createDataFrame([(words, "|. x) Total", "3 de Febrero de 2025", "1 1O,5 2S,50", "111")], "w array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>, t string, d string, n string, q string")
+    row = df.select(
+        tx.text_in_box("w", 0, 0, 100, 100).alias("box"), tx.strip_noise_prefix("t").alias("bare"), tx.contains_all_of("t", [["NADA"], ["TOTAL"]]).alias("guard"),
+        dates.parse_date_words("d").alias("d"), numeric.fuzzy_decimals("n").alias("n"), numeric.split_quantities("q", F.lit(3)).alias("q"), numeric.split_quantities("q", F.lit(2)).alias("none"),
+    ).first()
+    assert (row.box, row.bare, row.guard, row.d, row.q, row.none) == ("a b c", "Total", True, "03/02/2025", [1, 1, 1], None)
+    assert [(x.place, x.value) for x in row.n] == [(1, 10.5), (2, 25.5)]
