@@ -113,3 +113,64 @@ def only_missing(rows: DataFrame, field: str, key: list[str], read: Callable[[Da
     found = read(rows.where(empty)).select(*key, F.col("value").alias("_v"))
     joined = rows.join(found.groupBy(*key).agg(F.max("_v").alias("_v")), key, "left")
     return joined.withColumn(field, F.when(empty, F.coalesce("_v", field)).otherwise(F.col(field))).drop("_v")
+
+
+def searchable_pdf(program: str = "ocrmypdf", *options: str) -> Callable[[bytes], bytes]:
+    """An engine that gives a PDF a text layer; tried again without cleaning, the PDF itself if the program fails or is missing."""
+
+    def run(pdf: bytes) -> bytes:
+        for more in (options, tuple(o for o in options if o != "--clean")):
+            try:
+                return subprocess.run([program, *more, "-", "-"], input=pdf, capture_output=True, check=True, timeout=600).stdout
+            except (OSError, subprocess.SubprocessError):
+                continue
+        return pdf
+
+    return run
+
+
+def neural_engine(**options) -> Callable[[bytes], str]:
+    """docTR, if a worker has it; '' where it is missing."""
+
+    def read(image: bytes) -> str:
+        try:
+            from doctr.io import DocumentFile
+            from doctr.models import ocr_predictor
+        except ImportError:
+            return ""
+        return ocr_predictor(pretrained=True, **options)(DocumentFile.from_images([image])).render()
+
+    return read
+
+
+def union_engine(*engines: Callable[[bytes], str]) -> Callable[[bytes], str]:
+    """The lines of several passes over one image, each once, in order."""
+
+    def read(image: bytes) -> str:
+        lines = (x.strip() for engine in engines for x in engine(image).splitlines())
+        return "\n".join(dict.fromkeys(x for x in lines if x))
+
+    return read
+
+
+def regions(pages: DataFrame, x0: float, top: float, x1: float, bottom: float, resolution: int = 300) -> DataFrame:
+    """(path, page, image): a box of each page of (path, page, content), cut out and drawn as PNG; null where that fails."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        for frame in frames:
+            images = []
+            for row in frame.itertuples():
+                try:
+                    import pdfplumber
+
+                    with pdfplumber.open(io.BytesIO(row.content)) as doc:
+                        out = io.BytesIO()
+                        doc.pages[row.page - 1].within_bbox((x0, top, x1, bottom)).to_image(resolution=resolution).original.save(out, "PNG")
+                        images.append(out.getvalue())
+                except Exception:  # a broken page must not end the run
+                    images.append(None)
+            yield pd.DataFrame({"path": frame["path"], "page": frame["page"], "image": images})
+
+    return pages.select("path", "page", "content").mapInPandas(run, "path string, page int, image binary")

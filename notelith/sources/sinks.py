@@ -70,3 +70,11 @@ def write_skipped(skipped: DataFrame, path: str) -> bool:
 
 def write_summary(spark: SparkSession, summary: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(summary, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/resumen")
+
+
+def write_debug(steps: DataFrame, path: str, level: int, least: int = 1) -> bool:
+    """What each step of a page found, as JSON by document; only from a level of detail on."""
+    if level < least:
+        return False
+    steps.write.mode("overwrite").partitionBy("Pdf").json(f"{path}/debug")
+    return True

@@ -44,7 +44,10 @@ def test_images():
 def test_recognition_and_cache(spark):
     images = spark.createDataFrame([("a", 1, bytearray(b"x")), ("a", 2, None)], "path string, page int, image binary")
     assert [(r.page, r.text) for r in recognition.recognise(images, lambda b: b.decode() * 2, 3).orderBy("page").collect()] == [(1, "xx"), (2, "")]
-    assert recognition.command_engine("no-such-program")(b"x") == ""
+    assert recognition.command_engine("no-such-program")(b"x") == "" and recognition.searchable_pdf("no-such-program", "--clean")(b"x") == b"x"
+    assert recognition.union_engine(lambda b: "a\n b ", lambda b: "b\nc")(b"") == "a\nb\nc"
+    broken = spark.createDataFrame([("a", 1, bytearray(b"x"))], "path string, page int, content binary")
+    assert [tuple(r) for r in recognition.regions(broken, 0, 0, 1, 1).collect()] == [("a", 1, None)]
     t = datetime.datetime(2024, 1, 1)
     want = spark.createDataFrame([("a", 1, 11, t), ("b", 1, 11, t)], "path string, page int, psm int, modified timestamp")
     cache = spark.createDataFrame([("a", 1, 11, t, "new"), ("b", 1, 11, t - datetime.timedelta(1), "old"), ("a", 1, 12, t, "other")], "path string, page int, psm int, cached_at timestamp, text string")
@@ -67,6 +70,7 @@ def test_sinks(spark, sf, tmp_path):
     assert not sinks.write_skipped(errors.where("false"), str(tmp_path / "s")) and sinks.write_skipped(errors, str(tmp_path / "s"))
     sinks.write_trace(spark.createDataFrame([(1, "x", "y")], "z int, Pagina string, Pdf string"), str(tmp_path / "t"))
     assert sinks.ordered_trace(spark.createDataFrame([(1, "x", "y")], "z int, Pagina string, Pdf string")).columns == ["Pdf", "Pagina", "z"]
+    assert not sinks.write_debug(errors.withColumnRenamed("pdf", "Pdf"), str(tmp_path / "d"), 0) and sinks.write_debug(errors.withColumnRenamed("pdf", "Pdf"), str(tmp_path / "d"), 2)
     sinks.write_summary(spark, {"pages": 3}, str(tmp_path / "x"))
     assert json.loads(spark.read.text(str(tmp_path / "x/resumen")).first().value) == {"pages": 3}
 
