@@ -29,9 +29,10 @@ NUMBER_ORDERS = {
     4: ["quantity", "price", "discount", "amount"],
     5: ["quantity", "per", "price", "discount", "amount"],
     6: ["asked", "quantity", "per", "price", "discount", "amount"],
+    7: ["asked", "quantity", "pending", "per", "price", "discount", "amount"],
 }
-FIELDS = ["asked", "quantity", "per", "price", "discount", "amount"]
-LAYOUT_SCHEMA = "supplier string, kind string, start string, stop string, row string, min_numbers int, warning string, note string, order_code string, total string"
+FIELDS = ["asked", "quantity", "pending", "per", "price", "fee", "discount", "amount"]
+LAYOUT_SCHEMA = "supplier string, kind string, start string, stop string, row string, min_numbers int, warning string, note string, order_code string, total string, orders map<int,array<string>>"
 
 
 @dataclass(frozen=True)
@@ -47,12 +48,13 @@ class Layout:
     note: str = r"ALBARAN\s*(?:N\S*)?\s*[:#-]?\s*([A-Z0-9/-]*[0-9]{3,}[A-Z0-9/-]*)"
     order_code: str = r"PEDIDO\s*[:#-]?\s*([0-9A-Z][0-9A-Z./-]{3,})"
     total: str = r"(?:TOTAL|BASE IMPONIBLE|NETO)\D{0,30}([0-9][0-9.]*,[0-9]{2})"
+    #: Orders of numbers that differ from the usual ones.
     orders: dict[int, list[str]] = field(default_factory=dict)
 
     def row(self) -> tuple:
         start = "".join(f"(?=.*{w})" for w in self.head)
-        pattern = rf"^(?:[0-9]{{1,3}} )?({self.code}) (.+?)((?: {NUMBER}){{{self.min_numbers},6}})(?: ?(?:€|EUR))?$"
-        return (self.supplier, self.kind, start, "|".join(self.stop), pattern, self.min_numbers, self.warning, self.note, self.order_code, self.total)
+        pattern = rf"^(?:[0-9]{{1,3}} )?({self.code}) (.+?)((?: {NUMBER}){{{self.min_numbers},7}})(?: ?(?:€|EUR))?$"
+        return (self.supplier, self.kind, start, "|".join(self.stop), pattern, self.min_numbers, self.warning, self.note, self.order_code, self.total, NUMBER_ORDERS | self.orders)
 
 
 def layout_table(spark: SparkSession, layouts: list[Layout]) -> DataFrame:
@@ -71,15 +73,10 @@ def _group(text: Column, pattern: Column, i: int) -> Column:
     return F.call_function("regexp_extract", text, pattern, F.lit(i))
 
 
-def _number_at(numbers: Column, name: str) -> Column:
-    """The number of a name by the order that fits their count."""
-    cases = None
-    for n, order in NUMBER_ORDERS.items():
-        if name in order:
-            hit = F.size(numbers) == n
-            value = numeric.to_float_es(F.get(numbers, order.index(name)))
-            cases = F.when(hit, value) if cases is None else cases.when(hit, value)
-    return cases
+def _number_at(numbers: Column, orders: Column, name: str) -> Column:
+    """The number of a name by the layout's order for their count."""
+    at = F.array_position(F.try_element_at(orders, F.size(numbers)), name)
+    return F.when(at > 0, numeric.to_float_es(F.get(numbers, (at - 1).cast("int"))))
 
 
 def extract_rows(pages: DataFrame, layouts: DataFrame, key: list[str], supplier: str = "supplier", text: str = "text") -> DataFrame:
@@ -103,12 +100,15 @@ def extract_rows(pages: DataFrame, layouts: DataFrame, key: list[str], supplier:
     order = w.orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     counted = inside.withColumns({"is_row": is_row, "item": F.sum(F.when(is_row, 1).otherwise(0)).over(order)}).where("item > 0")
     more = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_row"), F.struct("ln", "line")))), lambda x: x["line"]), " ")
-    merged = counted.groupBy(*key, "supplier", "item").agg(F.max(F.when(F.col("is_row"), F.struct("line", "row", "warning"))).alias("r"), more.alias("more"))
+    merged = counted.groupBy(*key, "supplier", "item").agg(F.max(F.when(F.col("is_row"), F.struct("line", "row", "warning"))).alias("r"), F.any_value("orders").alias("orders"), more.alias("more"))
     part = lambda i: _group(F.col("r.line"), F.col("r.row"), i)
-    read = merged.select(*key, "supplier", "item", part(1).alias("code"), part(2).alias("d"), F.split(F.trim(part(3)), " ").alias("n"), "more", F.col("r.warning").alias("warning"))
+    read = merged.select(*key, "supplier", "item", part(1).alias("code"), part(2).alias("d"), F.split(F.trim(part(3)), " ").alias("n"), "more", "orders", F.col("r.warning").alias("warning"))
+    values = {f: _number_at(F.col("n"), F.col("orders"), f) for f in FIELDS}
+    # Forms that give what was asked for and what is still to come.
+    values["quantity"] = F.coalesce(values["quantity"], F.greatest(values["asked"] - values["pending"], F.lit(0.0)))
     return read.select(
         *key, "supplier", "item", "code", F.concat_ws(" ", "d", F.nullif("more", F.lit(""))).alias("description"),
-        *(_number_at(F.col("n"), f).alias(f) for f in FIELDS), "warning",
+        *(c.alias(f) for f, c in values.items()), "warning",
     )
 
 

@@ -13,7 +13,7 @@ LAYOUTS = [
     Layout("GENERIC", "generic", warning="GENERIC_PARSER_USED"),
     Layout("A2ZWORLD", "page"),
     Layout("ADARRA", min_numbers=3, warning="adarra_multiline_rescue"),
-    Layout("AELVASA", head=("REFERENCIA", "MARCA", "CONCEPTO", "IMPORTE"), min_numbers=3),
+    Layout("AELVASA", head=("REFERENCIA", "MARCA", "CONCEPTO", "IMPORTE"), min_numbers=3, orders={5: ["quantity", "price", "fee", "discount", "amount"]}),
     Layout("ALKAIN", head=("ART", "DESCRIP", "CANT", "PRECIO"), min_numbers=2),
     Layout("ARAIZ", head=("CANTIDAD", "PRECIO"), min_numbers=2),
     Layout("ARTESOLAR", head=("REFERENCIA", "CONCEPTOS", "CANTIDAD"), warning="artesolar_structured"),
@@ -31,10 +31,10 @@ LAYOUTS = [
     Layout("ELICETXE", head=("MARCA", "REFER")),
     Layout("ELT", head=("CODIGO", "DESCRIP", "CANTIDAD"), code=_DIGITS5, warning="elt_no_importe_visible"),
     Layout("ESMERALDA", min_numbers=3, warning="esmeralda_structured"),
-    Layout("GABYL", head=("CODIGO", "DESCRIPCION", "CANTIDAD"), min_numbers=2),
+    Layout("GABYL", head=("CODIGO", "DESCRIPCION", "CANTIDAD"), min_numbers=2, orders={5: ["quantity", "price", "per", "discount", "amount"]}),
     Layout("HILTI", head=("MATERIAL", "DESCRIP"), warning="hilti_structured"),
     Layout("ITEVELESA", "page"),
-    Layout("JUPER", code="JP[A-Z0-9./-]+", warning="NO_PRICE_LOG"),
+    Layout("JUPER", code="JP[A-Z0-9./-]+", warning="NO_PRICE_LOG", orders={2: ["asked", "pending"]}),
     Layout("KALON"),
     Layout("LEYCOLAN", head=("ARTICULO", "DESCRIPCION", "CANTIDAD"), warning="leycolan_structured"),
     Layout("LOYOLA NORTE", "page", warning="loyola_handwritten_review"),

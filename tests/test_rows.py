@@ -70,6 +70,8 @@ def test_extraction(spark):
         ("b", 1, "ELEKTRA", "4455 antes 1 2 3\nARTICULO CONCEPTO CANTIDAD PRECIO IMPORTE\n4455 Cable 10 100 25,00 2,50\nTOTAL 2,50"),
         ("c", 2, "SALTOKI", "ALBARAN Nº 12345678 FECHA 03/02/2025 PEDIDO 25.001/01\nAA111;Llave;3;2,00;6,00\nSUMA Y SIGUE"),
         ("d", 1, "JUPER", None),
+        ("e", 1, "JUPER", "JP100/2 Grapa 5 3\nJP101 Brida 1 4"),
+        ("f", 1, "GABYL", "CODIGO DESCRIPCION CANTIDAD\nGB12 Tubo 4 10,00 100 5,00 0,38"),
     ]
     docs = spark.createDataFrame(data, "pdf string, page int, supplier string, text string")
     layouts = extraction.layout_table(spark, LAYOUTS)
@@ -77,6 +79,7 @@ def test_extraction(spark):
     assert found == {
         ("a", 1): ("AB123", "Tubo de cobre con refuerzo", 2, 10.5, None, 21), ("a", 2): ("XY999", "Codo", 4, 1000, 5, 3800),
         ("b", 1): ("4455", "Cable", 10, 100, 25, 2.5), ("c", 1): ("AA111", "Llave", 3, 2, None, 6),
+        ("e", 1): ("JP100/2", "Grapa", 2, None, None, None), ("e", 2): ("JP101", "Brida", 0, None, None, None), ("f", 1): ("GB12", "Tubo", 4, 10, 5, 0.38),
     }
     head = {r.pdf: r for r in extraction.extract_pages(docs, layouts, ["pdf", "page"]).collect()}
     assert head["c"].note == "12345678" and head["c"].order_code == "25.001/01" and head["c"].date == "03/02/2025" and head["d"].note is None
