@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notelith.functions import numeric
 from notelith.operators import evaluation as ev
 from notelith.operators import pages, rows
 from notelith.plans.scalar_queries import LINES_SQL, sql_fold, sql_key, sql_round
@@ -113,16 +114,21 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("tier").agg(F.count("*").alias("matches"))
 
 
+ROW = r"^([^;]+);([^;]+);([0-9]+);([0-9.]+,[0-9]+);([0-9.]+,[0-9]+);([0-9.]+,[0-9]+)$"
+
+
 def _missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the tables in the documents' pages stand for missing rows: articles looked for in what the pages say."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "Pdf", "Pagina")
-    arts = table(spark, sf_dir, "articles").select("art_id", "Codigo", "Descripcion", F.col("PrecioUnitario").alias("Importe"))
-    return docs.join(arts, F.col("doc_id") % 2400 + 1 == F.col("art_id")).select("doc_id", "Pdf", "Pagina", "Codigo", "Descripcion", "Importe")
+    """Rows that stand on the documents' pages, looked for on their own page and, as if the page had been misread, on the next."""
+    lines = pages.explode_lines(table(spark, sf_dir, "documents"), ["doc_id", "Pdf", "Pagina"], "text").where(F.col("line").rlike(ROW))
+    part = lambda i: F.regexp_extract("line", ROW, i)
+    read = lines.select("doc_id", "ln", "Pdf", "Pagina", part(1).alias("Codigo"), part(2).alias("Descripcion"), numeric.to_float_es(part(6)).alias("Importe"))
+    shifted = read.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1))))
+    return shifted.select(F.concat_ws(":", "doc_id", "ln", "shift").alias("row_id"), "Pdf", (F.col("Pagina") + F.col("shift")).alias("Pagina"), "Codigo", "Descripcion", "Importe")
 
 
 def audit_line_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = pages.explode_lines(table(spark, sf_dir, "documents"), ["Pdf", "Pagina"], "text")
-    return ev.audit_missing(_missing_rows(spark, sf_dir), lines, "doc_id", ["Pdf", "Pagina"])
+    return ev.audit_missing(_missing_rows(spark, sf_dir), lines, "row_id", ["Pdf", "Pagina"])
 
 
 def audit_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,15 +166,16 @@ _KEYS = ", ".join(KEY)
 _MISSING = "SELECT DISTINCT Proveedor, Pdf, Pagina, Linea FROM {a} x WHERE NOT EXISTS (SELECT 1 FROM {b} y WHERE y.Proveedor = x.Proveedor AND y.Pdf = x.Pdf AND y.Pagina = x.Pagina AND y.Linea = x.Linea)"
 _AMOUNT = "coalesce(printf('%.2f', CAST(round(CAST(Importe AS DECIMAL(24, 8)), 2) AS DOUBLE)), '')"
 _AUDIT = f"""WITH {LINES_SQL},
-rows_ AS (SELECT d.doc_id, d.Pdf, d.Pagina, {sql_key("a.Codigo")} c, replace(printf('%.2f', a.PrecioUnitario), '.', ',') amount,
-  list_slice(list_filter(string_split(regexp_replace({sql_fold("a.Descripcion")}, '[^A-Z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]+$')), 1, 5) w
-  FROM documents d JOIN articles a ON d.doc_id % 2400 + 1 = a.art_id),
-met AS (SELECT r.doc_id, l.Pagina = r.Pagina same, CASE WHEN length(c) > 0 AND contains(regexp_replace({sql_fold("line")}, '[^A-Z0-9]', '', 'g'), c) THEN 3 ELSE 0 END
+parts AS (SELECT doc_id, ln, Pdf, Pagina, regexp_extract(line, '{ROW}', ['c', 't', 'q', 'p', 'd', 'a']) g FROM lines WHERE regexp_matches(line, '{ROW}')),
+rows_ AS (SELECT doc_id || ':' || ln || ':' || s AS row_id, Pdf, Pagina + s AS Pagina, {sql_key("g.c")} c, replace(printf('%.2f', CAST(replace(replace(g.a, '.', ''), ',', '.') AS DOUBLE)), '.', ',') amount,
+  list_slice(list_filter(string_split(regexp_replace({sql_fold("g.t")}, '[^A-Z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]+$')), 1, 5) w
+  FROM parts, (VALUES (0), (1)) v(s)),
+met AS (SELECT r.row_id, l.Pagina = r.Pagina same, CASE WHEN length(c) > 0 AND contains(regexp_replace({sql_fold("line")}, '[^A-Z0-9]', '', 'g'), c) THEN 3 ELSE 0 END
   + CASE WHEN len(list_filter(w, lambda x: contains({sql_fold("line")}, x))) >= 2 THEN 2 ELSE 0 END + CASE WHEN amount <> '' AND contains({sql_fold("line")}, amount) THEN 1 ELSE 0 END score
   FROM rows_ r JOIN lines l ON l.Pdf = r.Pdf),
-best AS (SELECT doc_id, max(score) FILTER (same) here, max(score) anywhere FROM met GROUP BY doc_id),
-audit AS (SELECT r.doc_id, CASE WHEN here >= 2 THEN 'FOUND_SAME_PAGE' WHEN anywhere >= 2 THEN 'FOUND_OTHER_PAGE' WHEN anywhere IS NULL THEN 'NO_PDF_DUMP' WHEN here IS NULL THEN 'NO_PAGE_DUMP' ELSE 'NOT_FOUND_OCR' END AS status,
-  coalesce(anywhere, 0) AS score FROM rows_ r LEFT JOIN best b ON b.doc_id = r.doc_id)"""
+best AS (SELECT row_id, max(score) FILTER (same) here, max(score) anywhere FROM met GROUP BY row_id),
+audit AS (SELECT r.row_id, CASE WHEN here >= 2 THEN 'FOUND_SAME_PAGE' WHEN anywhere >= 2 THEN 'FOUND_OTHER_PAGE' WHEN anywhere IS NULL THEN 'NO_PDF_DUMP' WHEN here IS NULL THEN 'NO_PAGE_DUMP' ELSE 'NOT_FOUND_OCR' END AS status,
+  coalesce(anywhere, 0) AS score FROM rows_ r LEFT JOIN best b ON b.row_id = r.row_id)"""
 
 _TIERS = [["Pdf", "Pagina", "Codigo", "amount"], ["AlbaranNumero", "Codigo"], ["Proveedor", "Descripcion"]]
 
@@ -212,7 +219,7 @@ UNION ALL SELECT Proveedor, Pdf, Pagina, Linea, updated_at, Codigo, NULL FROM s
     "dedup_longest": f"""SELECT AlbaranNumero, Codigo, {_AMOUNT} AS amount, line_id FROM detail_lines WHERE AlbaranNumero IS NOT NULL AND Importe IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY AlbaranNumero, Codigo, {_AMOUNT} ORDER BY length(coalesce(Descripcion, '')) DESC, line_id) = 1""",
     "amount_keys": f"WITH r AS {_R} SELECT {_KEYS}, updated_at, {_AMOUNT} AS amount, coalesce(printf('%.3f', CAST(round(CAST(CantidadServida AS DECIMAL(24, 8)), 3) AS DOUBLE)), '') AS quantity FROM r",
-    "audit_line_score": _AUDIT + " SELECT doc_id, status, score FROM audit",
+    "audit_line_score": _AUDIT + " SELECT row_id, status, score FROM audit",
     "audit_status_counts": _AUDIT + " SELECT status, count(*) AS rows FROM audit GROUP BY status",
     "ffill_location": f"""WITH m AS {_M} SELECT Pdf, Pagina, Linea, updated_at, last_value(AlbaranNumero IGNORE NULLS) OVER w AS AlbaranNumero, last_value(SuPedidoCodigo IGNORE NULLS) OVER w AS SuPedidoCodigo,
   AlbaranNumero IS NULL OR SuPedidoCodigo IS NULL AS weak_location FROM m WINDOW w AS (PARTITION BY Pdf ORDER BY Pagina, {_ORDER} ROWS UNBOUNDED PRECEDING)""",

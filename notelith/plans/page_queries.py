@@ -222,10 +222,16 @@ def fallback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, each read with one of the layouts in turn."""
-    names = [x.supplier for x in LAYOUTS]
-    pick = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("doc_id") % len(names) + 1).cast("int"))
-    return _docs(spark, sf_dir).withColumn("supplier", pick)
+    """Documents with the first layout whose table head stands on them, else the one that needs no head."""
+    folded = tx.fold_upper(F.coalesce("text", F.lit("")))
+    pick = None
+    for layout in LAYOUTS:
+        if layout.kind == "rows" and len(layout.head) >= 3:
+            hit = F.lit(True)
+            for word in layout.head:
+                hit = hit & F.col("_f").contains(word)
+            pick = F.when(hit, layout.supplier) if pick is None else pick.when(hit, layout.supplier)
+    return _docs(spark, sf_dir).withColumn("_f", folded).withColumn("supplier", pick.otherwise("ESMERALDA")).drop("_f")
 
 
 def class_c_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

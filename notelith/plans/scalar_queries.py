@@ -154,38 +154,39 @@ def year_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order codes as read, with the suffixes and letter codes of other layouts made from them."""
+    """Each line's order code as read and in the shapes of other layouts that are made from it."""
     digits = F.regexp_replace("SuPedidoCodigo", "[^0-9]", "")
-    made = (
-        F.when(F.col("line_id") % 6 == 0, F.col("SuPedidoCodigo"))
-        .when(F.col("line_id") % 6 == 1, F.concat(F.lit("A"), F.substring(digits, 1, 6), F.lit("/L519325")))
-        .when(F.col("line_id") % 6 == 2, F.concat(F.col("SuPedidoCodigo"), F.lit("12 345")))
-        .when(F.col("line_id") % 6 == 3, F.concat(F.substring(digits, 1, 2), F.lit("."), F.substring(digits, 3, 5), F.lit("/E")))
-        .when(F.col("line_id") % 6 == 4, F.concat(F.lit(" "), F.substring(digits, 1, 3), F.lit("O"), F.substring(digits, 5, 2), F.lit("-")))
-        .otherwise(digits)
-    )
-    return _lines(spark, sf_dir).select("line_id", "Proveedor", made.alias("code"))
+    shapes = {
+        "read": F.col("SuPedidoCodigo"),
+        "letter": F.concat(F.lit("A"), F.substring(digits, 1, 6), F.lit("/L519325")),
+        "tail": F.concat(F.col("SuPedidoCodigo"), F.lit("12 345")),
+        "fused": F.concat(F.substring(digits, 1, 2), F.lit("."), F.substring(digits, 3, 5), F.lit("/E")),
+        "misread": F.concat(F.lit(" "), F.substring(digits, 1, 3), F.lit("O"), F.substring(digits, 5, 2), F.lit("-")),
+        "digits": digits,
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("shape"), c.alias("code")) for n, c in shapes.items()))).alias("s")
+    return _lines(spark, sf_dir).select("line_id", "Proveedor", each).select("line_id", "Proveedor", "s.shape", "s.code")
 
 
 def order_code_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark, sf_dir).select("line_id", order_codes.strip_noise(order_codes.clean("code")).alias("clean"))
+    return _codes(spark, sf_dir).select("line_id", "shape", order_codes.strip_noise(order_codes.clean("code")).alias("clean"))
 
 
 def order_code_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark, sf_dir).select("line_id", order_codes.truncate("code").alias("compact"))
+    return _codes(spark, sf_dir).select("line_id", "shape", order_codes.truncate("code").alias("compact"))
 
 
 def order_code_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, order_codes.RULE_SCHEMA)
-    return order_codes.normalize(_codes(spark, sf_dir), "code", "Proveedor", rules, "normal").select("line_id", "normal")
+    return order_codes.normalize(_codes(spark, sf_dir), "code", "Proveedor", rules, "normal").select("line_id", "shape", "normal")
 
 
 def order_code_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark, sf_dir).select("line_id", order_codes.keep_suffix("code").alias("kept"))
+    return _codes(spark, sf_dir).select("line_id", "shape", order_codes.keep_suffix("code").alias("kept"))
 
 
 def code_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark, sf_dir).select("line_id", order_codes.quality("code").alias("score"), order_codes.plausible("code").alias("plausible"))
+    return _codes(spark, sf_dir).select("line_id", "shape", order_codes.quality("code").alias("score"), order_codes.plausible("code").alias("plausible"))
 
 
 def note_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,10 +297,10 @@ def sql_repair(x: str) -> str:
 
 
 _CODES = """
-codes AS (SELECT line_id, Proveedor, CASE line_id % 6 WHEN 0 THEN SuPedidoCodigo WHEN 1 THEN 'A' || substr(d, 1, 6) || '/L519325'
-  WHEN 2 THEN SuPedidoCodigo || '12 345' WHEN 3 THEN substr(d, 1, 2) || '.' || substr(d, 3, 5) || '/E'
-  WHEN 4 THEN ' ' || substr(d, 1, 3) || 'O' || substr(d, 5, 2) || '-' ELSE d END AS code
-  FROM (SELECT *, regexp_replace(SuPedidoCodigo, '[^0-9]', '', 'g') d FROM detail_lines))
+dig AS (SELECT *, regexp_replace(SuPedidoCodigo, '[^0-9]', '', 'g') d FROM detail_lines),
+codes AS (SELECT line_id, Proveedor, 'read' shape, SuPedidoCodigo code FROM dig UNION ALL SELECT line_id, Proveedor, 'letter', 'A' || substr(d, 1, 6) || '/L519325' FROM dig
+  UNION ALL SELECT line_id, Proveedor, 'tail', SuPedidoCodigo || '12 345' FROM dig UNION ALL SELECT line_id, Proveedor, 'fused', substr(d, 1, 2) || '.' || substr(d, 3, 5) || '/E' FROM dig
+  UNION ALL SELECT line_id, Proveedor, 'misread', ' ' || substr(d, 1, 3) || 'O' || substr(d, 5, 2) || '-' FROM dig UNION ALL SELECT line_id, Proveedor, 'digits', d FROM dig)
 """
 
 
@@ -333,7 +334,7 @@ def sql_truncate(x: str) -> str:
 _RULES = ", ".join("('" + r[0] + "', " + ", ".join(str(x).upper() for x in r[1:]) + ")" for r in RULES)
 _NORMALIZE = f"""
 WITH {_CODES}, r({", ".join(["supplier", *order_codes.RULE_FIELDS])}) AS (VALUES {_RULES}),
-a AS (SELECT line_id, regexp_replace({sql_noise(sql_clean("code"))}, '^([AH])[-/]([0-9]{{2}})/([0-9]{{2}})/([0-9]{{2}})$', '\\1\\2\\3\\4') v,
+a AS (SELECT line_id, shape, regexp_replace({sql_noise(sql_clean("code"))}, '^([AH])[-/]([0-9]{{2}})/([0-9]{{2}})/([0-9]{{2}})$', '\\1\\2\\3\\4') v,
   coalesce(min_length, 5) min_length, coalesce(min_digits, 3) min_digits, coalesce(require_alpha, FALSE) require_alpha, coalesce(allow_numeric, FALSE) allow_numeric,
   coalesce(no_truncate, FALSE) no_truncate, coalesce(preserve_alpha_suffix, TRUE) preserve, coalesce(strip_leading_one_6d, FALSE) strip_one
   FROM codes LEFT JOIN r ON upper(r.supplier) = upper(codes.Proveedor)),
@@ -341,7 +342,7 @@ b AS (SELECT * REPLACE (CASE WHEN strip_one AND length(regexp_replace(v, '[^0-9]
   THEN substr(regexp_replace(v, '[^0-9]', '', 'g'), 2, 5) ELSE v END AS v) FROM a),
 c AS (SELECT * REPLACE (CASE WHEN no_truncate OR (preserve AND regexp_matches(v, '[A-Z]') AND (regexp_matches(v, '[/.-]') OR regexp_matches(v, '^[AH][0-9]{{6,8}}[A-Z]{{1,4}}$')))
   THEN v ELSE coalesce(nullif({sql_truncate("v")}, ''), v) END AS v) FROM b)
-SELECT line_id, CASE WHEN length(v) < greatest(min_length, 1) OR length(regexp_replace(v, '[^0-9]', '', 'g')) < min_digits
+SELECT line_id, shape, CASE WHEN length(v) < greatest(min_length, 1) OR length(regexp_replace(v, '[^0-9]', '', 'g')) < min_digits
   OR (require_alpha AND NOT regexp_matches(v, '[A-Z]'))
   OR (NOT regexp_matches(v, '[A-Z]') AND NOT regexp_matches(v, '[/.-]') AND NOT allow_numeric AND NOT regexp_matches(v, '^[0-9]{{5}}$')) THEN '' ELSE v END AS normal FROM c
 """
@@ -418,14 +419,14 @@ QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY {sql_round("abs(price *
     "date_from_code": """SELECT line_id, CASE WHEN regexp_matches(FechaAlbaran, '^[0-9]{2}/[0-9]{2}/20[0-9]{2}$') THEN FechaAlbaran ELSE '' END AS date FROM detail_lines""",
     "year_from_path": """WITH y AS (SELECT Pdf, AlbaranNumero, try_cast(substr(FechaAlbaran, 7, 4) AS INT) y, try_cast(regexp_extract(coalesce(AlbaranNumero, ''), '(20[0-9]{2})', 1) AS INT) n FROM note_meta)
 SELECT Pdf, AlbaranNumero, CASE WHEN abs(n - y) <= 3 THEN n ELSE y END AS year FROM y""",
-    "order_code_clean": f"WITH {_CODES} SELECT line_id, {sql_noise(sql_clean('code'))} AS clean FROM codes",
-    "order_code_truncate": f"WITH {_CODES} SELECT line_id, {sql_truncate('code')} AS compact FROM codes",
+    "order_code_clean": f"WITH {_CODES} SELECT line_id, shape, {sql_noise(sql_clean('code'))} AS clean FROM codes",
+    "order_code_truncate": f"WITH {_CODES} SELECT line_id, shape, {sql_truncate('code')} AS compact FROM codes",
     "order_code_normalize": _NORMALIZE,
-    "order_code_suffix": f"""WITH {_CODES}, a AS (SELECT line_id, regexp_replace(regexp_replace(upper(regexp_replace(coalesce(code, ''), '\\s+', '', 'g')), '^[1I]([0-9]{{6}})(/[A-Z])?$', 'A\\1\\2'),
+    "order_code_suffix": f"""WITH {_CODES}, a AS (SELECT line_id, shape, regexp_replace(regexp_replace(upper(regexp_replace(coalesce(code, ''), '\\s+', '', 'g')), '^[1I]([0-9]{{6}})(/[A-Z])?$', 'A\\1\\2'),
   '^([AH])([0-9]{{6}})([A-Z][A-Z0-9]*)$', '\\1\\2/\\3') v FROM codes)
-SELECT line_id, CASE WHEN contains(v, '.') AND NOT (regexp_matches(v, '^[0-9]{{2}}\\.[0-9]{{3}}([-/][0-9]{{1,3}})?([-/][A-Z0-9]+)*$') OR regexp_matches(v, '^[0-9]{{2}}\\.[0-9]{{4,6}}(/[A-Z0-9]+)*$'))
+SELECT line_id, shape, CASE WHEN contains(v, '.') AND NOT (regexp_matches(v, '^[0-9]{{2}}\\.[0-9]{{3}}([-/][0-9]{{1,3}})?([-/][A-Z0-9]+)*$') OR regexp_matches(v, '^[0-9]{{2}}\\.[0-9]{{4,6}}(/[A-Z0-9]+)*$'))
   THEN '' ELSE regexp_replace(regexp_replace(v, '^[-:/ ]+', ''), '[-:/ ]+$', '') END AS kept FROM a""",
-    "code_quality_score": f"WITH {_CODES}, q AS (SELECT line_id, coalesce(code, '') v FROM codes), s AS (SELECT line_id, {_QUALITY} score FROM q) SELECT line_id, score, score >= 4 AS plausible FROM s",
+    "code_quality_score": f"WITH {_CODES}, q AS (SELECT line_id, shape, coalesce(code, '') v FROM codes), s AS (SELECT line_id, shape, {_QUALITY} score FROM q) SELECT line_id, shape, score, score >= 4 AS plausible FROM s",
     "note_plausibility": f"""SELECT line_id, {_NOTE} AS note, coalesce(length(regexp_replace(AlbaranNumero, '[^0-9]', '', 'g')) >= 5, FALSE) AS is_note,
   regexp_matches({_NOTE}, '^(19|20)[0-9]{{2}}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$') AS is_date,
   regexp_matches(regexp_replace({_NOTE}, '[^0-9]', '', 'g'), '^10[0-9]{{7}}$') AS is_phone FROM detail_lines""",

@@ -121,9 +121,9 @@ def code_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes that stand before the description: put there for the lines of one supplier, then found again."""
+    """Codes that stand before the description: put there, then found again."""
     there = F.when(F.col("Codigo").rlike("^[A-Z0-9]{6,}$"), F.concat("Codigo", F.lit(" - "), "Descripcion")).otherwise(F.col("Descripcion"))
-    lines = _lines(spark, sf_dir).where("Proveedor = 'Suministros Arkaldi'").withColumns({"Descripcion": there, "Codigo": F.lit("")})
+    lines = _lines(spark, sf_dir).withColumns({"Descripcion": there, "Codigo": F.lit("")})
     return lines.withColumns(rows.recover_code("Codigo", "Descripcion")).select("line_id", "Codigo", F.md5(F.col("Descripcion").cast("binary")).alias("rest"))
 
 
@@ -308,7 +308,7 @@ LEFT JOIN m ON m.Proveedor = l.Proveedor AND m.AlbaranNumero = l.AlbaranNumero""
     "code_placeholder": f"""WITH i AS (SELECT *, row_number() OVER (ORDER BY Pdf, Pagina, line_id) idx, coalesce(upper(trim(Codigo)) IN ('', 'NAN', 'NONE', 'NULL', 'NAT'), TRUE) AND CantidadServida IS NOT NULL AND Importe IS NOT NULL lacks FROM detail_lines)
 SELECT line_id, idx, CASE WHEN lacks THEN 'UNK_' || {sql_key("translate(Proveedor, 'ÁÉÍÓÚÜÑáéíóúüñ', 'AEIOUUNaeiouun')")} || '_' || CASE WHEN idx > 9999 THEN CAST(idx AS VARCHAR) ELSE lpad(CAST(idx AS VARCHAR), 4, '0') END ELSE Codigo END AS Codigo,
   CASE WHEN lacks THEN CASE WHEN coalesce(ParseWarn, '') = '' THEN 'missing_code_placeholder' ELSE ParseWarn || '|missing_code_placeholder' END ELSE ParseWarn END AS ParseWarn FROM i""",
-    "code_recovery": """WITH d AS (SELECT line_id, CASE WHEN regexp_matches(Codigo, '^[A-Z0-9]{6,}$') THEN Codigo || ' - ' || Descripcion ELSE Descripcion END t FROM detail_lines WHERE Proveedor = 'Suministros Arkaldi'),
+    "code_recovery": """WITH d AS (SELECT line_id, CASE WHEN regexp_matches(Codigo, '^[A-Z0-9]{6,}$') THEN Codigo || ' - ' || Descripcion ELSE Descripcion END t FROM detail_lines),
 x AS (SELECT line_id, t, regexp_extract(coalesce(t, ''), '^\\s*([A-Z0-9]{6,})([^A-Za-z0-9_\\p{L}\\p{M}\\p{N}]|$)', 1) c FROM d)
 SELECT line_id, c AS Codigo, md5(CASE WHEN c <> '' THEN regexp_replace(regexp_replace(t, '^\\s*[A-Z0-9]{6,}', ''), '^[ -]+', '') ELSE t END) AS rest FROM x""",
     "canonical_projection": "SELECT line_id, "
