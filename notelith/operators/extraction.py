@@ -32,7 +32,7 @@ NUMBER_ORDERS = {
     7: ["asked", "quantity", "pending", "per", "price", "discount", "amount"],
 }
 FIELDS = ["asked", "quantity", "pending", "per", "price", "fee", "discount", "amount"]
-LAYOUT_SCHEMA = "supplier string, kind string, start string, stop string, row string, min_numbers int, warning string, note string, order_code string, total string, orders map<int,array<string>>"
+LAYOUT_SCHEMA = "supplier string, kind string, head array<string>, stop string, row string, min_numbers int, warning string, note string, order_code string, total string, orders map<int,array<string>>"
 
 
 @dataclass(frozen=True)
@@ -52,9 +52,8 @@ class Layout:
     orders: dict[int, list[str]] = field(default_factory=dict)
 
     def row(self) -> tuple:
-        start = "".join(f"(?=.*{w})" for w in self.head)
         pattern = rf"^(?:[0-9]{{1,3}} )?({self.code}) (.+?)((?: {NUMBER}){{{self.min_numbers},7}})(?: ?(?:€|EUR))?$"
-        return (self.supplier, self.kind, start, "|".join(self.stop), pattern, self.min_numbers, self.warning, self.note, self.order_code, self.total, NUMBER_ORDERS | self.orders)
+        return (self.supplier, self.kind, list(self.head), "|".join(self.stop), pattern, self.min_numbers, self.warning, self.note, self.order_code, self.total, NUMBER_ORDERS | self.orders)
 
 
 def layout_table(spark: SparkSession, layouts: list[Layout]) -> DataFrame:
@@ -90,8 +89,8 @@ def extract_rows(pages: DataFrame, layouts: DataFrame, key: list[str], supplier:
     table = lines.join(layouts.where("kind = 'rows'"), "supplier").withColumns({"line": flatten_separators("line")})
     folded = tx.fold_upper("line")
     w = Window.partitionBy(*key)
-    starts = (F.col("start") != "") & F.call_function("rlike", folded, F.col("start"))
-    from_ = F.when(F.col("start") == "", F.lit(-1)).otherwise(F.min(F.when(starts, F.col("ln"))).over(w))
+    starts = (F.size("head") > 0) & F.forall("head", lambda word: folded.contains(word))
+    from_ = F.when(F.size("head") == 0, F.lit(-1)).otherwise(F.min(F.when(starts, F.col("ln"))).over(w))
     table = table.withColumn("_from", from_)
     stops = (F.col("ln") > F.col("_from")) & F.call_function("rlike", folded, F.col("stop"))
     table = table.withColumn("_to", F.min(F.when(stops, F.col("ln"))).over(w))

@@ -308,7 +308,55 @@ def _ok(f: str) -> str:
     return "NOT " + _MISS.format(f=f)
 
 
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _layout_values() -> str:
+    """The layouts as rows of (supplier, kind, head, stop, row, warning, note, order_code, total, orders)."""
+    rows_ = []
+    for layout in LAYOUTS:
+        supplier, kind, head, stop, row, _, warning, note, code, total, orders = layout.row()
+        words = "[" + ", ".join(map(_sql_text, head)) + "]::VARCHAR[]"
+        maps = "MAP {" + ", ".join(f"{n}: [{', '.join(map(_sql_text, names))}]" for n, names in orders.items()) + "}"
+        rows_.append(f"({_sql_text(supplier)}, {_sql_text(kind)}, {words}, {', '.join(map(_sql_text, (stop, row, warning, note, code, total)))}, {maps})")
+    return "layouts(supplier, kind, head, stop, row_, warning, note_, code_, total_, orders) AS (VALUES " + ",\n".join(rows_) + ")"
+
+
+_PICK = "CASE " + " ".join(
+    "WHEN " + " AND ".join(f"contains(f, '{w}')" for w in x.head) + f" THEN {_sql_text(x.supplier)}" for x in LAYOUTS if x.kind == "rows" and len(x.head) >= 3
+) + " ELSE 'ESMERALDA' END"
+_FLAT = r"""regexp_replace(regexp_replace(regexp_replace({x}, '","|",|,"', ' ', 'g'), '[|;\t"]', ' ', 'g'), '\s+', ' ', 'g')"""
+_LAYOUT_ROWS = f"""
+WITH {_layout_values()},
+picked AS (SELECT doc_id, text, {_PICK} supplier FROM (SELECT *, {sql_fold("coalesce(text, '')")} f FROM documents)),
+l0 AS (SELECT doc_id, supplier, unnest(range(len(l))) ln, unnest(l) line FROM (SELECT doc_id, supplier, {sql_lines("replace(text, chr(9), ' ; ')")} l FROM picked)),
+l1 AS (SELECT l0.* EXCLUDE (line), y.* EXCLUDE (supplier), trim({_FLAT.format(x="line")}) line FROM l0 JOIN layouts y ON y.supplier = l0.supplier AND y.kind = 'rows'),
+l2 AS (SELECT *, {sql_fold("line")} f FROM l1),
+l3 AS (SELECT *, CASE WHEN len(head) = 0 THEN -1 ELSE min(ln) FILTER (len(head) > 0 AND len(list_filter(head, lambda w: NOT contains(f, w))) = 0) OVER (PARTITION BY doc_id) END a FROM l2),
+l4 AS (SELECT *, min(ln) FILTER (ln > a AND regexp_matches(f, stop)) OVER (PARTITION BY doc_id) b FROM l3),
+l5 AS (SELECT *, regexp_extract(line, row_, 1) <> '' is_row FROM l4 WHERE ln > a AND (b IS NULL OR ln < b)),
+l6 AS (SELECT *, sum(CASE WHEN is_row THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) item FROM l5),
+g AS (SELECT doc_id, supplier, item, max(line) FILTER (is_row) line, any_value(row_) row_, any_value(warning) warning, any_value(orders) orders,
+  array_to_string(list(line ORDER BY ln) FILTER (NOT is_row), ' ') more FROM l6 WHERE item > 0 GROUP BY doc_id, supplier, item),
+n AS (SELECT *, string_split(trim(regexp_extract(line, row_, 3)), ' ') n FROM g),
+o AS (SELECT *, orders[len(n)] names FROM n),
+v AS (SELECT *, {", ".join(f"try_cast(replace(replace(n[list_position(names, '{x}')], '.', ''), ',', '.') AS DOUBLE) v_{x}" for x in extraction.FIELDS)} FROM o)
+SELECT doc_id, supplier, item, regexp_extract(line, row_, 1) AS code, concat_ws(' ', regexp_extract(line, row_, 2), nullif(more, '')) AS description,
+  {", ".join((f"v_{x}" if x != "quantity" else "coalesce(v_quantity, greatest(v_asked - v_pending, CASE WHEN v_asked - v_pending IS NULL THEN NULL ELSE 0 END))") + f" AS {x}" for x in extraction.FIELDS)}, warning FROM v
+"""
+_LAYOUT_PAGES = f"""
+WITH {_layout_values()},
+picked AS (SELECT doc_id, f, {_PICK} supplier FROM (SELECT *, {sql_fold("coalesce(text, '')")} f FROM documents))
+SELECT doc_id, p.supplier, kind, nullif(regexp_extract(f, note_, 1), '') AS note, nullif(regexp_extract(f, code_, 1), '') AS order_code, nullif({sql_date("f")}, '') AS date,
+  try_cast(replace(replace(nullif(regexp_extract(f, total_, 1), ''), '.', ''), ',', '.') AS DOUBLE) AS total, warning FROM picked p JOIN layouts y ON y.supplier = p.supplier
+"""
+
 SQL = {
+    "class_c_rows": _LAYOUT_ROWS,
+    "layout_headers": _LAYOUT_PAGES,
     "alias_rules": f"WITH {_ALIASES} SELECT supplier, alias FROM aliases",
     "detect_scores": _SCORES + " SELECT doc_id, supplier, hits, score FROM scored",
     "detect_best": _SCORES
