@@ -354,7 +354,20 @@ SELECT doc_id, p.supplier, kind, nullif(regexp_extract(f, note_, 1), '') AS note
   try_cast(replace(replace(nullif(regexp_extract(f, total_, 1), ''), '.', ''), ',', '.') AS DOUBLE) AS total, warning FROM picked p JOIN layouts y ON y.supplier = p.supplier
 """
 
+_DECISIONS = f"""
+WITH RECURSIVE f AS (SELECT *, {sql_fold("coalesce(text, '')")} t FROM documents),
+p AS (SELECT Pdf, Pagina, nullif(regexp_extract(coalesce(text, ''), 'Albar[áa]n ([0-9]{{6,}})', 1), '') note, len(regexp_extract_all(coalesce(text, ''), '([0-9],[0-9]{{2}})', 1)) items,
+  try_cast(regexp_extract(coalesce(text, ''), '(?i)hoja\\s+([0-9]+)\\s*(?:/|de)\\s*([0-9]+)', 1) AS INT) sheet, try_cast(regexp_extract(coalesce(text, ''), '(?i)hoja\\s+([0-9]+)\\s*(?:/|de)\\s*([0-9]+)', 2) AS INT) sheets,
+  NOT ({" OR ".join(f"contains(t, '{h}')" for h in TABLE_HINTS)}) AND ({" + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in FOOTER_WORDS)}) >= 2 footer, row_number() OVER (PARTITION BY Pdf ORDER BY Pagina) n FROM f),
+r AS (SELECT Pdf, CAST(0 AS BIGINT) n, CAST(NULL AS INT) Pagina, CAST(NULL AS VARCHAR) decision, CAST(NULL AS VARCHAR) note, CAST(NULL AS VARCHAR) last FROM (SELECT DISTINCT Pdf FROM p)
+  UNION ALL SELECT q.Pdf, q.n, q.Pagina, d, coalesce(q.note, q.last), CASE WHEN d = 'skipped' THEN q.last ELSE coalesce(q.note, q.last) END FROM (
+    SELECT p.*, r.last, CASE WHEN p.items > 0 THEN 'rows' WHEN coalesce(p.sheet = p.sheets AND p.note = r.last, FALSE) THEN 'skipped'
+      WHEN coalesce(p.footer AND r.last IS NOT NULL AND p.sheet = p.sheets AND p.sheets >= 2, FALSE) THEN 'skipped' ELSE 'fallback' END d FROM r JOIN p ON p.Pdf = r.Pdf AND p.n = r.n + 1) q)
+SELECT Pdf, Pagina, decision, note FROM r WHERE n > 0
+"""
+
 SQL = {
+    "page_decisions": _DECISIONS,
     "class_c_rows": _LAYOUT_ROWS,
     "layout_headers": _LAYOUT_PAGES,
     "alias_rules": f"WITH {_ALIASES} SELECT supplier, alias FROM aliases",
