@@ -27,9 +27,24 @@ def alias_table(sources: list[DataFrame]) -> DataFrame:
 
 
 def _alternation(aliases: list[str]) -> str:
-    """One pattern for all aliases, longest first; blanks in an alias stand for any white space."""
-    parts = [re.escape(a).replace(r"\ ", " ").replace(" ", r"\s+") for a in sorted(aliases, key=lambda a: (-len(a), a))]
-    return "(?<![A-Z0-9])(" + "|".join(parts) + ")(?![A-Z0-9])"
+    """One pattern for all aliases, with shared beginnings written once, so a place is tried letter by letter and not
+    alias by alias; the longest alias at a place wins. Blanks in an alias stand for any white space."""
+    tree: dict = {}
+    for alias in aliases:
+        node = tree
+        for ch in alias:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        steps = [(r"\s+" if ch == " " else re.escape(ch)) + pattern(below) for ch, below in sorted(node.items()) if ch]
+        if not steps:
+            return ""
+        body = steps[0] if len(steps) == 1 else f"(?:{'|'.join(steps)})"
+        return f"(?:{body})?" if "" in node else body
+
+    firsts = "".join(re.escape(ch) for ch in sorted(tree))
+    return f"(?<![A-Z0-9])(?=[{firsts}])({pattern(tree)})(?![A-Z0-9])"
 
 
 def alias_hits(pages: DataFrame, key: list[str], text: str, aliases: DataFrame, max_aliases: int = 20_000) -> DataFrame:
