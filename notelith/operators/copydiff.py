@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelith.runtime import blocks_for
+from notelith.runtime import blocks_for, ship
 
 #: Keys of one block: bounds a task's memory, whatever the size of the copies.
 KEYS_PER_BLOCK = 50_000
@@ -119,6 +119,7 @@ def diff_copies(
     keys_per_block: int = KEYS_PER_BLOCK,
 ) -> DataFrame:
     """One row (keys..., finding) for each missing row and each differing field."""
+    ship(left.sparkSession)
     n_blocks = blocks_for(left.count() + right.count(), 2 * keys_per_block, least=8)
     schema = T.StructType([*(left.schema[k] for k in keys), T.StructField("finding", T.StringType())])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])

@@ -91,10 +91,12 @@ def greedy_match(pred: DataFrame, truth: DataFrame, pred_id: str, truth_id: str,
     return reduce(DataFrame.unionByName, found)
 
 
-def line_score(code: Column, words: Column, amount: Column, folded: Column) -> Column:
-    """How well a page's line fits a missing row: its code counts 3, two words of its text 2, its amount 1."""
+def line_score(code: Column, words: Column, amount: Column, folded: Column, tight: Column) -> Column:
+    """How well a page's line fits a missing row: its code counts 3, two words of its text 2, its amount 1.
+
+    ``folded`` is the line in plain capitals, ``tight`` the same without anything but letters and digits.
+    """
     hits = F.size(F.filter(words, lambda w: folded.contains(w)))
-    tight = F.regexp_replace(folded, "[^A-Z0-9]", "")
     return (
         F.when((F.length(code) > 0) & tight.contains(code), 3).otherwise(0)
         + F.when(hits >= 2, 2).otherwise(0)
@@ -109,8 +111,8 @@ def audit_missing(rows: DataFrame, lines: DataFrame, id_col: str, page: list[str
     """
     pdf, pagina = page
     marked = rows.select(id_col, pdf, F.col(pagina).alias("_page"), tx.key_token("Codigo").alias("_c"), tx.keywords("Descripcion", []).alias("_w"), F.replace(amount_key("Importe"), F.lit("."), F.lit(",")).alias("_a"))
-    seen = lines.select(pdf, F.col(pagina).alias("_on"), tx.fold_upper("line").alias("_l"))
-    score = line_score(F.col("_c"), F.col("_w"), F.col("_a"), F.col("_l"))
+    seen = lines.select(pdf, F.col(pagina).alias("_on"), tx.fold_upper("line").alias("_l"), tx.key_token(tx.fold_upper("line")).alias("_t"))
+    score = line_score(F.col("_c"), F.col("_w"), F.col("_a"), F.col("_l"), F.col("_t"))
     met = marked.join(seen, pdf).select(id_col, (F.col("_on") == F.col("_page")).alias("same"), score.alias("score"))
     best = met.groupBy(id_col).agg(F.max(F.when(F.col("same"), F.col("score"))).alias("here"), F.max("score").alias("anywhere"))
     status = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notelith.functions import text as tx
 from notelith.operators.skew import HOT_ROWS, join_by_key
-from notelith.runtime import durable
+from notelith.runtime import durable, ship
 
 DETAIL_TEXT = [
     "Proveedor", "Parser", "AlbaranNumero", "FechaAlbaran", "SuPedidoCodigo", "Codigo", "Descripcion", "CantidadFuente", "PrecioFuente",
@@ -159,6 +159,7 @@ def fill_forward(df: DataFrame, part: list[str], order: list[str], fields: list[
 
 
 def _fill_ranges(df: DataFrame, part: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    ship(df.sparkSession)
     ranged = durable(df.repartitionByRange(*part, *order).sortWithinPartitions(*part, *order).withColumn("_p", F.spark_partition_id()))
     keys, n = len(part), len(part) + len(fields)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notelith.operators.rows import last_value
+from notelith.runtime import ship
 
 
 def carry_forward(pages: DataFrame, doc: str, order: str, value: str) -> DataFrame:
@@ -59,5 +60,6 @@ def decide_pages(pages: DataFrame, doc: str, order: str) -> DataFrame:
             names = [doc, order, "decision", "note"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=names)
 
+    ship(pages.sparkSession)
     slim = pages.select(doc, order, "note", "items", "sheet", "sheets", "footer")
     return slim.repartition(doc).sortWithinPartitions(doc, order).mapInArrow(run, schema)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,40 @@ def session(app: str = "notelith", cores: str = "*", **conf: str) -> SparkSessio
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application, wherever the driver was started from."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    # The folder all executors share, through Hadoop's file systems; a temporary one only where none is named.
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/notelith-{sc.applicationId}.zip")
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(at.toString())
+    _SHIPPED.add(sc.applicationId)
+
+
+_TEMPORARY: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests on one machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not _TEMPORARY:
+        _TEMPORARY.append(tempfile.mkdtemp(prefix="notelith-"))
+    return (named or _TEMPORARY[0]).rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,7 +74,7 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="notelith-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager)
 
 

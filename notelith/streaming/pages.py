@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from notelith.runtime import shared_folder
+
 CARRIED = "Pdf string, Pagina int, carried string"
 
 
@@ -50,8 +51,7 @@ def carried_notes(pages: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, shared: str | None = None, mode: str = "append") -> DataFrame:
     """Everything there is now, written to the shared folder and read back. A stream that stops after its input."""
     spark = stream.sparkSession
-    base = shared or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="notelith-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{(shared or shared_folder(spark)).rstrip('/')}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     else:
