@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from notelith.runtime import ship
+
 #: Where the public vocabularies lie; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published split pattern of this vocabulary.
@@ -215,6 +217,7 @@ class Decoder:
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids) of every row: one pass, no shuffle."""
+    ship(docs.sparkSession)
     slim = docs.select(key, text)
     schema = T.StructType([slim.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
@@ -233,6 +236,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
 
 def decode_corpus(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, text) from (key, ids); null ids give null."""
+    ship(encoded.sparkSession)
     slim = encoded.select(key, ids)
     schema = T.StructType([slim.schema[key], T.StructField("text", T.StringType())])
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notelith.runtime import ship
+
 # Letters of other scripts that are drawn as a Latin one, with that one.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -85,6 +87,7 @@ def shown(texts: pa.Array) -> pa.Array:
 
 def look_alikes(records: DataFrame, reference: DataFrame, record_id: str, reference_id: str, fields: list[str]) -> DataFrame:
     """(record id, reference id) where all fields look the same and one at least isn't equal character for character."""
+    ship(records.sparkSession)
     a = records.select(F.col(record_id).alias("a"), *(F.col(f"`{f}`").alias(f"a{i}") for i, f in enumerate(fields)))
     b = reference.select(F.col(reference_id).alias("b"), *(F.col(f"`{f}`").alias(f"b{i}") for i, f in enumerate(fields)))
     n = range(len(fields))
@@ -99,6 +102,7 @@ def look_alikes(records: DataFrame, reference: DataFrame, record_id: str, refere
 
 def one_form(records: DataFrame, reference: DataFrame, record_id: str, fields: list[str]) -> DataFrame:
     """Every record with its fields in one form: the reference row's characters where one looks the same, else the shown form."""
+    ship(records.sparkSession)
     n = range(len(fields))
     a = records.select(record_id, *(F.col(f"`{f}`").alias(f"a{i}") for i, f in enumerate(fields)))
     a = a.withColumns({f"s{i}": skeleton(F.col(f"a{i}")) for i in n} | {f"o{i}": shown(F.col(f"a{i}")) for i in n})
@@ -111,6 +115,7 @@ def one_form(records: DataFrame, reference: DataFrame, record_id: str, fields: l
 
 def groups_of_forms(records: DataFrame, field: str) -> DataFrame:
     """(skeleton in composed form, forms, records): the texts that look the same, where they are written in more than one way."""
+    ship(records.sparkSession)
     texts = records.select(F.col(f"`{field}`").alias("text")).where(F.col("text").isNotNull())
     forms = texts.groupBy("text").agg(F.count("*").alias("n")).withColumn("skeleton", shown(F.col("text")))
     grouped = forms.groupBy("skeleton").agg(F.count("*").alias("forms"), F.sum("n").alias("records"))

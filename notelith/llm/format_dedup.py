@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelith.operators.skew import join_by_key
-from notelith.runtime import durable
+from notelith.runtime import durable, ship
 
 BITS_PER_ROW = 16
 LEAST_BITS_PER_ROW = 4
@@ -148,6 +148,7 @@ def keyed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 def split_repeats(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(possible repeats, certain singletons) of (id, key, h); records without a key are singletons."""
+    ship(records.sparkSession)
     bits = _filter_bits(records.count())
     have = records.where(F.col("key").isNotNull())
     lack = records.where(F.col("key").isNull())

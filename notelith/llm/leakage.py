@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notelith.runtime import ship
+
 MIN_WORDS = 15
 WORDS_PER_ERROR = 7
 PIECE = 3
@@ -217,6 +219,7 @@ class ItemIndex:
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id) of every document that holds enough of an item."""
+    ship(docs.sparkSession)
     slim = docs.select(doc_id, text).where(F.col(text).isNotNull() & (F.col(text) != ""))
     wanted = items.select(item_id, text).where(F.col(text).isNotNull())
     chars = wanted.agg(F.sum(F.length(text))).first()[0] or 0
