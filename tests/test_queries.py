@@ -36,3 +36,19 @@ def test_core_stands_without_the_optional_subpackage():
     assert done.returncode == 0 and int(done.stdout) == len(registry.queries())
     sources = [p for p in (REPO / "notelith").rglob("*.py") if "llm" not in p.parts]
     assert not [p for p in sources if "notelith.llm" in p.read_text()]
+
+
+def test_driver_started_elsewhere(sf, tmp_path):
+    """The executors' Python gets the package although it isn't in their path."""
+    code = f"""
+import sys; sys.path.insert(0, {str(REPO)!r})
+from notelith.runtime import session
+import __spark_entry__ as e
+spark = session("elsewhere", "2"); spark.sparkContext.setLogLevel("ERROR")
+print([e.queries()[n](spark, {sf!r}).count() > 0 for n in ("p2_found", "p4_found", "page_decisions", "text_entropy")])
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0 and done.stdout.strip().endswith("[True, True, True, True]"), done.stderr[-2000:]
