@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,6 +132,13 @@ FROM p"""
 _LOOKS = {k: v for t in (confusables.CYRILLIC, confusables.GREEK, confusables.ARMENIAN, confusables.SIGNS) for k, v in t.items()}
 _LOOKS |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
 
+# DuckDB only composes: letters with a mark need their own prototypes there.
+for _k, _v in list(_LOOKS.items()):
+    for _mark in map(chr, (*range(0x300, 0x315), 0x327, 0x328)):
+        _a, _b = (unicodedata.normalize("NFC", x + _mark) for x in (_k, _v))
+        if len(_a) == len(_b) == 1:
+            _LOOKS.setdefault(_a, _b)
+
 
 def _skeleton_sql(x: str) -> str:
     """The skeleton in composed form; the rules for rarer characters aren't needed for these tables."""
