@@ -101,4 +101,4 @@ def fuzzy_decimals(c: Column | str) -> Column:
 
 def per_hundred(price: Column | str, text: Column | str) -> Column:
     """A price that the line marks as one for a hundred, for one."""
-    return F.when(col(text).rlike(r"\(100\)|/C\b|%\s*U"), col(price) / 100).otherwise(col(price))
+    return F.when(col(text).rlike(r"\(100\)|/C(?:$|[^\p{L}\p{N}_])|%\s*U"), col(price) / 100).otherwise(col(price))

@@ -440,5 +440,5 @@ SELECT line_id, CAST(place AS INT) AS place, round(CAST(replace(replace(t, '.',
     "line_guards": f"""WITH {LINES_SQL}, g AS (SELECT doc_id, line, {" OR ".join("(" + " AND ".join(f"contains({sql_fold('line')}, '{w}')" for w in ws) + ")" for ws in GUARDS)} guard,
   regexp_replace(line, '^(?:[|~_.,:;''*=\\-]+\\s*|[a-z]\\)\\s*)+', '') bare FROM lines)
 SELECT doc_id, count(*) FILTER (guard) AS guards, sum(length(line) - length(bare)) AS noise FROM g GROUP BY doc_id""",
-    "price_per_hundred": """SELECT line_id, round(CASE WHEN UnidadesPor = 100 AND Descripcion IS NOT NULL OR regexp_matches(coalesce(Descripcion, ''), '\\(100\\)') THEN PrecioUnitario / 100 ELSE PrecioUnitario END, 6) AS price FROM detail_lines""",
+    "price_per_hundred": """SELECT line_id, round(CASE WHEN UnidadesPor = 100 AND Descripcion IS NOT NULL OR regexp_matches(coalesce(Descripcion, ''), '\\(100\\)|/C(?:$|[^\\p{L}\\p{N}_])|%\\s*U') THEN PrecioUnitario / 100 ELSE PrecioUnitario END, 6) AS price FROM detail_lines""",
 }

@@ -75,7 +75,8 @@ def header_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numeric_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = numeric_audit.repaired(*(F.col(c) for c in ("CantidadServida", "PrecioUnitario", "DescuentoPct", "Importe", "UnidadesPor")))
     fixed = _lines(spark, sf_dir).select("line_id", r.alias("r"))
-    return fixed.select("line_id", F.round("r.q", 3).alias("quantity"), F.round("r.p", 3).alias("price"), F.round("r.d", 3).alias("discount"), F.round("r.a", 3).alias("amount"))
+    shown = lambda c: F.round(F.col(c).cast("decimal(24,8)"), 3).cast("double")
+    return fixed.select("line_id", *(shown(f"r.{c}").alias(n) for c, n in (("q", "quantity"), ("p", "price"), ("d", "discount"), ("a", "amount"))))
 
 
 def numeric_repair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
