@@ -11,6 +11,7 @@ page: the text of its first lines and the last amount on it).
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,16 @@ def flatten_separators(c: Column | str) -> Column:
     return tx.trim_ws(F.regexp_replace(out, r"\s+", " "))
 
 
+def choose_layout(text: Column | str, layouts: list[Layout], default: str) -> Column:
+    """The first of the layouts whose head stands on one line, read as ``extract_rows`` reads it; else the default, which needs no head."""
+    folded = F.transform(tx.lines_of(F.regexp_replace(tx.col(text), "\t", " ; ")), lambda x: tx.fold_upper(flatten_separators(x)))
+
+    def on_one_line(lines: Column, head: tuple[str, ...]) -> Column:
+        return F.exists(lines, lambda line: reduce(lambda a, b: a & b, (line.contains(word) for word in head)))
+
+    return tx.let(folded, lambda lines: F.coalesce(*(F.when(on_one_line(lines, x.head), F.lit(x.supplier)) for x in layouts if x.head), F.lit(default)))
+
+
 def _group(text: Column, pattern: Column, i: int) -> Column:
     """A group of a pattern that is itself a column."""
     return F.call_function("regexp_extract", text, pattern, F.lit(i))

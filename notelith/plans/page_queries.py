@@ -245,6 +245,23 @@ def layout_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(_with_layout(spark, sf_dir), layouts, ["doc_id"])
 
 
+def _with_layout_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the first layout whose head stands on one of their lines, else the one that needs no head."""
+    with_head = [x for x in LAYOUTS if x.kind == "rows" and len(x.head) >= 3]
+    return _docs(spark, sf_dir).withColumn("supplier", extraction.choose_layout("text", with_head, "ESMERALDA"))
+
+
+def class_c_rows_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``class_c_rows``, whose SQL asks for a head's words anywhere in the document: here no document loses its rows for want of a head line."""
+    layouts = extraction.layout_table(spark, LAYOUTS)
+    return extraction.extract_rows(_with_layout_by_line(spark, sf_dir), layouts, ["doc_id"])
+
+
+def layout_headers_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layouts = extraction.layout_table(spark, LAYOUTS)
+    return extraction.extract_pages(_with_layout_by_line(spark, sf_dir), layouts, ["doc_id"])
+
+
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, s = F.coalesce("text", F.lit("")), pages.sheet_of("text")
     return _docs(spark, sf_dir).select(
@@ -275,7 +292,8 @@ def pages_with_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     alias_rules, detect_scores, detect_best, extractor_resolution, line_pairs, footer_page_flag, sheet_numbers, required_fields_missing, reference_fields_missing,
     noise_line_filter, stop_range_rows, head_window, continuation_islands, position_checks, lookahead_value, lookback_value, trailing_lines, candidate_ranking,
-    block_choice, positional_zip, fifo_pairing, class_a_rows, class_b_row, generic_extract, fallback_rows, class_c_rows, layout_headers, carry_forward_note,
+    block_choice, positional_zip, fifo_pairing, class_a_rows, class_b_row, generic_extract, fallback_rows, class_c_rows, layout_headers, class_c_rows_by_line,
+    layout_headers_by_line, carry_forward_note,
     page_decisions, pages_with_recognition,
 )}
 
@@ -353,6 +371,17 @@ picked AS (SELECT doc_id, f, {_PICK} supplier FROM (SELECT *, {sql_fold("coalesc
 SELECT doc_id, p.supplier, kind, nullif(regexp_extract(f, note_, 1), '') AS note, nullif(regexp_extract(f, code_, 1), '') AS order_code, nullif({sql_date("f")}, '') AS date,
   try_cast(replace(replace(nullif(regexp_extract(f, total_, 1), ''), '.', ''), ',', '.') AS DOUBLE) AS total, warning FROM picked p JOIN layouts y ON y.supplier = p.supplier
 """
+_LINES_FOLDED = f"""list_transform({sql_lines("replace(text, chr(9), ' ; ')")}, lambda z: {sql_fold(f'trim({_FLAT.format(x="z")})')})"""
+_PICK_BY_LINE = "CASE " + " ".join(
+    "WHEN len(list_filter(fl, lambda z: " + " AND ".join(f"contains(z, '{w}')" for w in x.head) + f")) > 0 THEN {_sql_text(x.supplier)}" for x in LAYOUTS if x.kind == "rows" and len(x.head) >= 3
+) + " ELSE 'ESMERALDA' END"
+_BY_LINE = f"""picked AS (SELECT doc_id, text, f, {_PICK_BY_LINE} supplier FROM (SELECT *, {sql_fold("coalesce(text, '')")} f, {_LINES_FOLDED} fl FROM documents))"""
+
+
+def _by_line(sql: str) -> str:
+    """The SQL with documents picked by single lines."""
+    return "\n".join(_BY_LINE + ("," if x.endswith(",") else "") if x.startswith("picked AS ") else x for x in sql.split("\n"))
+
 
 _DECISIONS = f"""
 WITH RECURSIVE f AS (SELECT *, {sql_fold("coalesce(text, '')")} t FROM documents),
@@ -370,6 +399,8 @@ SQL = {
     "page_decisions": _DECISIONS,
     "class_c_rows": _LAYOUT_ROWS,
     "layout_headers": _LAYOUT_PAGES,
+    "class_c_rows_by_line": _by_line(_LAYOUT_ROWS),
+    "layout_headers_by_line": _by_line(_LAYOUT_PAGES),
     "alias_rules": f"WITH {_ALIASES} SELECT supplier, alias FROM aliases",
     "detect_scores": _SCORES + " SELECT doc_id, supplier, hits, score FROM scored",
     "detect_best": _SCORES

@@ -150,3 +150,14 @@ def test_box_and_guards(spark):
     ).first()
     assert (row.box, row.bare, row.guard, row.d, row.q, row.none) == ("a b c", "Total", True, "03/02/2025", [1, 1, 1], None)
     assert [(x.place, x.value) for x in row.n] == [(1, 10.5), (2, 25.5)]
+
+
+def test_head_words_on_several_lines_choose_no_layout(spark):
+    """The head of ALKAIN needs ART on its own line: a code elsewhere with these letters leaves the page to the layout without a head."""
+    split = "CODIGO;DESCRIPCION;CANT;PRECIO;DTO;IMPORTE\nART 37 78930;Tubo de cobre;2;10,50;0,00;21,00"
+    docs = spark.createDataFrame([(1, split), (2, "ART;DESCRIPCION;CANT;PRECIO\nAB123;Codo;4;5,00"), (3, None), (4, "ART\tDESCRIP\tCANT\tPRECIO")], "doc int, text string")
+    with_head = [x for x in LAYOUTS if x.kind == "rows" and len(x.head) >= 3]
+    chosen = docs.withColumn("supplier", extraction.choose_layout("text", with_head, "ESMERALDA"))
+    assert {r.doc: r.supplier for r in chosen.collect()} == {1: "ESMERALDA", 2: "ALKAIN", 3: "ESMERALDA", 4: "ALKAIN"}
+    found = {r.doc: (r.code, r.quantity, r.amount) for r in extraction.extract_rows(chosen, extraction.layout_table(spark, LAYOUTS), ["doc"]).collect()}
+    assert found == {1: ("ART 37 78930", 2, 21), 2: ("AB123", 4, 5)}
