@@ -3,7 +3,8 @@
 A document holds an item if it holds the whole item or ``MIN_WORDS`` consecutive words of it, of which one in
 ``WORDS_PER_ERROR`` may be misread. Pigeonhole: with a budget of e misread words, e + 1 pieces of a window can't all be
 hit, so every window keeps an intact piece of three words; by the same count it keeps at least
-``MIN_WORDS - 2 - 3 * e`` of its three-word pieces, all shifted alike against the item. Exact piece hits with that many
+``MIN_WORDS - 2 - 3 * e`` of its three-word pieces, all shifted alike against the item. Items of fewer than nine words
+have pieces of ``n // (e + 1)`` words for that. Exact piece hits with that many
 on one shift are candidates. They are verified word by word: a misread word is within Myers' bit-parallel distance of
 two and differs in one place only, by one letter.
 
@@ -15,7 +16,7 @@ Defined cases
 * Letter case, accents, punctuation, spacing, line breaks, hyphens at line ends, characters that show nothing and marks
   at line starts (quote signs, line numbers with a sign) don't matter.
 * Numbers, words with a digit and words of up to three letters are never misread: another one is a difference.
-* An item of fewer than ``MIN_WORDS`` words counts only as a whole. Null, empty and wordless texts and items hold nothing.
+* An item of fewer than ``MIN_WORDS`` words counts only as a whole, an item of one word only as it stands. Null, empty and wordless texts and items hold nothing.
 * Every row of the corpus counts, repeated ones too; repeated items are reported for each of their ids once.
 * Empty tables give no rows. Other columns are ignored, whatever their names. Texts are read whole.
 """
@@ -91,7 +92,7 @@ def misread(word: str, read: str) -> bool:
 
 
 class ItemIndex:
-    """The three-word pieces of a block of items and where they lie."""
+    """The pieces, mostly of three words, of a block of items and where they lie."""
 
     def __init__(self, items: list[tuple[object, str]]):
         self.keys, self.words = [], []
@@ -105,9 +106,10 @@ class ItemIndex:
             self.keys.append(key)
             self.words.append(words)
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            # Items shorter than a piece are one piece; 0 fills it up and is no word.
-            for i in range(max(1, len(ids) - PIECE + 1)):
-                piece = (*ids[i : i + PIECE], 0, 0)[:PIECE]
+            # 0 fills up shorter pieces and is no word.
+            size = self.piece_words(len(ids))
+            for i in range(len(ids) - size + 1):
+                piece = (*ids[i : i + size], 0, 0)[:PIECE]
                 pieces.append((*piece, n, i))
         at = np.array(pieces, dtype=np.int64).reshape(-1, PIECE + 2)
         self.base = np.int64(len(self.vocabulary) + 2)
@@ -116,7 +118,7 @@ class ItemIndex:
         self.codes, self.first = np.unique(codes[order], return_index=True)
         self.ends = np.append(self.first[1:], len(order))
         self.item, self.place = at[order, PIECE], at[order, PIECE + 1]
-        self.short = {len(w) for w in self.words} & set(range(1, PIECE))
+        self.short = {self.piece_words(len(w)) for w in self.words} & set(range(1, PIECE))
         self.need = np.array([self.hits_needed(len(w)) for w in self.words], dtype=np.int64)
 
     def code(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -126,9 +128,15 @@ class ItemIndex:
             return (a * self.base + b) * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) + c
 
     @staticmethod
-    def hits_needed(n_words: int) -> int:
+    def piece_words(n_words: int) -> int:
+        """Words of a piece, so that more pieces than may be misread fit side by side into a window."""
         window = min(n_words, MIN_WORDS)
-        return max(1, window - (PIECE - 1) - PIECE * -(-window // WORDS_PER_ERROR))
+        return max(1, min(PIECE, window // (-(-window // WORDS_PER_ERROR) + 1)))
+
+    @classmethod
+    def hits_needed(cls, n_words: int) -> int:
+        window, size = min(n_words, MIN_WORDS), cls.piece_words(n_words)
+        return max(1, window - (size - 1) - size * -(-window // WORDS_PER_ERROR))
 
     def verify(self, n: int, shift: int, places: np.ndarray, words: list[str], start: int, end: int) -> bool:
         """Whether words[start:end], shifted against item n, hold enough of it."""

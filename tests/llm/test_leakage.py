@@ -101,3 +101,17 @@ def test_against_brute_force():
                     if bad <= 3 and all(a == b or lk.misread(a, b) for a, b in zip(target[i : i + 15], words[j : j + 15], strict=True)):
                         want.add((t, n))
     assert set(index.search(texts)) == want and want
+
+
+def test_short_items_with_misread_words():
+    """Each way of misreading as many words as an item of 2 to 14 words allows leaves an intact piece."""
+    from itertools import combinations
+
+    words = ["maestro", "cargador", "apuntaba", "fecha", "adelantada", "jornadas", "donde", "original", "precinto", "violado", "error", "arrastra", "placas", "perforadas"]
+    for n in range(2, 15):
+        item = words[:n]
+        for wrong in combinations(range(n), -(-n // lk.WORDS_PER_ERROR)):
+            read = " ".join(w[:-1] + "x" if i in wrong else w for i, w in enumerate(item))
+            assert found(f"antes {read} luego", [(1, " ".join(item))]) == [1], (n, wrong)
+        worse = " ".join(w[:-1] + "x" if i <= -(-n // lk.WORDS_PER_ERROR) else w for i, w in enumerate(item))
+        assert found(f"antes {worse} luego", [(1, " ".join(item))]) == []
