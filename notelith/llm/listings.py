@@ -3,10 +3,13 @@
 A listing is read into the manufacturer's reference and a signature: type, brand, series, colour and measures in common
 units, whatever the wording, language, order and advertising. Listings with one reference and signature are one node
 (map-side combined, so copies of a listing cost nothing further). Nodes meet in blocks: of a reference, of a whole
-signature, and of type, brand and series with one attribute. The graph links each node of a block with the block's
-first node, never all pairs; an edge weighs the sum of its blocks' rarities. Each node prunes its edges below their mean;
-edges of identifying blocks (reference, signature) are never pruned. Attribute rules verify the survivors, and connected
-components are the products.
+signature, and of type, brand and series with one attribute. A reference has a block for each two kinds of heads (which of
+type, brand and series are known) and the values that both know: heads of the one kind agree with all of the other, so a
+block that has both is connected and a few blocks a node hold every agreeing pair. The graph links each node of a block
+with the block's first node, never all pairs; an edge weighs the sum of its blocks' rarities. Each node prunes its edges
+below their mean; edges of identifying blocks (reference, signature) are never pruned. Attribute rules verify the
+survivors, and connected components are the products. The rules accept only what shares an identifying block, so blocks
+of attributes, weights and pruning don't change the products.
 
 Rules: nodes with two different references are different products. One reference is one product if type, brand and
 series agree where both are known. Without a reference only equal signatures are one product; a listing without one
@@ -27,7 +30,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,31 +164,41 @@ def read_listings(df: DataFrame) -> DataFrame:
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """(node, ref, sig, block, identifying): the blocks in which each node lies."""
+    """(node, ref, sig, block, identifying, side, two): the blocks in which each node lies; ``two``: it links only nodes of different sides."""
     parts = F.split("sig", _PART)
     head = F.concat_ws(_PART, F.slice(parts, 1, 3))
     attributes = F.when(F.size(parts) > 3, F.slice(parts, 4, 1000)).otherwise(F.array().cast("array<string>"))
+    known = [F.coalesce(F.get(parts, i), F.lit("")) for i in range(3)]
+    mask = sum((F.when(x != "", 1 << i).otherwise(0) for i, x in enumerate(known)), F.lit(0))
+
+    def token(block: Column, identifying: bool, side: Column = F.lit(0), two: Column = F.lit(False)) -> Column:
+        return F.struct(block.alias("block"), F.lit(identifying).alias("identifying"), side.alias("side"), two.alias("two"))
+
+    def of_reference(other: int) -> Column:
+        """The block of this node's kind of head and another: what both know."""
+        both = (F.when(mask.bitwiseAND(F.lit(other & 1 << i)) != 0, x).otherwise("") for i, x in enumerate(known))
+        kinds = F.concat(F.least(mask, F.lit(other)).cast("string"), F.greatest(mask, F.lit(other)).cast("string"))
+        return token(F.concat(F.lit("r:"), F.concat_ws(_PART, "ref", kinds, *both)), True, mask, mask != other)
+
     tokens = F.concat(
-        F.when(F.col("ref").isNotNull(), F.array(F.struct(F.concat(F.lit("r:"), "ref").alias("block"), F.lit(True).alias("identifying")))).otherwise(F.array()),
-        F.when(F.col("sig").isNotNull(), F.array(F.struct(F.concat(F.lit("s:"), "sig").alias("block"), F.lit(True).alias("identifying")))).otherwise(F.array()),
-        F.coalesce(
-            F.transform(attributes, lambda x: F.struct(F.concat(F.lit("a:"), head, F.lit(_PART), x).alias("block"), F.lit(False).alias("identifying"))), F.array()
-        ),
+        F.when(F.col("ref").isNotNull(), F.array(*(of_reference(other) for other in range(8)))).otherwise(F.array()),
+        F.when(F.col("sig").isNotNull(), F.array(token(F.concat(F.lit("s:"), "sig"), True))).otherwise(F.array()),
+        F.coalesce(F.transform(attributes, lambda x: token(F.concat(F.lit("a:"), head, F.lit(_PART), x), False)), F.array()),
     )
-    return nodes.select("node", "ref", "sig", F.explode(tokens).alias("t")).select("node", "ref", "sig", "t.block", "t.identifying")
+    return nodes.select("node", "ref", "sig", F.explode(tokens).alias("t")).select("node", "ref", "sig", "t.*")
 
 
 def _edges(nodes: DataFrame, n_nodes: int) -> DataFrame:
     """(a, b) of verified edges between nodes."""
     blocks = _blocks(nodes)
     me = F.struct("node", "ref", "sig")
-    hubs = blocks.groupBy("block").agg(F.min(me).alias("hub"), F.count("*").alias("nodes"), F.count_distinct("ref").alias("refs"))
-    hubs = hubs.where(F.col("nodes") > 1)
+    hubs = blocks.groupBy("block").agg(F.min(me).alias("hub"), F.count("*").alias("nodes"), F.count_distinct("ref").alias("refs"), (~F.any_value("two") | (F.min("side") < F.max("side"))).alias("linked"))
+    hubs = hubs.where((F.col("nodes") > 1) & F.col("linked")).drop("linked")
     met = join_by_key(blocks, hubs, "block", "nodes", n_nodes).where(F.col("node") != F.col("hub.node"))
     weight = F.when(F.col("identifying"), F.lit(1.0)).otherwise(F.lit(1.0) / (1 + F.col("nodes")))
     graph = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(
         F.sum(weight).alias("weight"),
-        F.max(F.col("ref")).alias("ref_a"), F.max(F.col("hub.ref")).alias("ref_b"),
+        F.max(F.col("ref")).alias("ref_a"), F.max(F.col("hub.ref")).alias("ref_b"), F.max(F.col("block").startswith("r:")).alias("one_reference"),
         F.max(F.col("sig")).alias("sig_a"), F.max(F.col("hub.sig")).alias("sig_b"),
         F.max(F.when(F.col("block").startswith("s:"), F.col("refs"))).alias("refs"),
     )
@@ -193,13 +206,8 @@ def _edges(nodes: DataFrame, n_nodes: int) -> DataFrame:
     bar_a, bar_b = ends.select(F.col("end").alias("a"), F.col("mean").alias("mean_a")), ends.select(F.col("end").alias("b"), F.col("mean").alias("mean_b"))
     kept = graph.join(bar_a, "a").join(bar_b, "b").where(F.col("weight") >= F.least(F.lit(1.0), "mean_a", "mean_b"))
 
-    def agrees(i: int):
-        x, y = F.split("sig_a", _PART)[i], F.split("sig_b", _PART)[i]
-        return F.coalesce((x == y) | (x == "") | (y == ""), F.lit(True))
-
-    one_reference = F.coalesce(F.col("ref_a") == F.col("ref_b"), F.lit(False)) & agrees(0) & agrees(1) & agrees(2)
     one_signature = F.coalesce(F.col("sig_a") == F.col("sig_b"), F.lit(False)) & (F.col("ref_a").isNull() | F.col("ref_b").isNull()) & (F.col("refs") <= 1)
-    return kept.where(one_reference | one_signature).select("a", "b")
+    return kept.where(F.col("one_reference") | one_signature).select("a", "b")
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -73,3 +73,30 @@ def test_random_against_the_rule(spark):
         rows.append((i, None, " | ".join(parts)))
     keys = {i: ls.signature(ls.parse(c, d)) for i, c, d in rows}
     assert pairs(spark, rows) == {(a, b) for a in keys for b in keys if a < b and keys[a] == keys[b]}
+
+
+def test_first_listing_of_a_reference_with_a_word_of_its_own(spark):
+    same = "BLK-0000033-1"
+    rows = [(1, same, "Ball valve C2H Nautrek maravilla 15 mm"), (2, same, "Ball valve C2H Nautrek 15 mm"), (3, same, "Ball valve C2H Nautrek 2 cm"), (4, same, "C2H Nautrek 4 cm")]
+    assert pairs(spark, rows) == {(2, 3), (2, 4), (3, 4)}
+
+
+def test_references_against_all_pairs(spark):
+    """Products of listings with references are the components of all agreeing pairs."""
+    r = random.Random(8)
+    words = lambda *some: r.choice(["", *some])
+    rows = []
+    for i in range(1, 200):
+        text = f"{words('Ball valve', 'Bombilla LED')} {words('Nautrek', 'Yermak', 'Nautrek nuevisimo')} {words('a2h', 'b2h')} {r.choice(['', '15 mm', '16 bar', '2 cm', '25 bar'])}"
+        rows.append((i, f"YRM-00000{r.randrange(10, 50)}-2", text))
+    read = {i: ls.parse(c, d) for i, c, d in rows}
+    head = lambda x: (x["type"] or "", x["rest"], x["series"] or "")
+    agree = lambda a, b: a["ref"] == b["ref"] and all(x == y or not x or not y for x, y in zip(head(a), head(b), strict=True))
+    least = {i: i for i in read}
+    while True:
+        after = {i: min(least[j] for j in read if agree(read[i], read[j])) for i in read}
+        after = {i: least[after[i]] for i in read}
+        if after == least:
+            break
+        least = after
+    assert pairs(spark, rows) == {(a, b) for a in read for b in read if a < b and least[a] == least[b]}
