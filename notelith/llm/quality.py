@@ -4,8 +4,8 @@ Statistics are computed for whole parts of a batch at once: characters become co
 by token, line and document follow from where those begin. A Gaussian mixture is fitted to the standardized statistics
 of all documents by expectation-maximization (each round is one pass over the statistics that returns sums of bounded
 size), its components get the kinds of the documents that were labelled by hand, and a document the kind that is most
-probable under its components. Where a document holds lines of several kinds, an exact check of the characters follows:
-the kind of the larger part decides.
+probable under its components. Nothing but the mixture decides; a document of several kinds gets the one that its
+statistics over all characters, words and lines are most like.
 
 Defined cases
 -------------
@@ -48,8 +48,11 @@ COMMON_WORDS = {
 LETTER, VOWEL, UPPER, DIGIT, SPACE, STOP, PLAIN, PICTURE, WIDE = (1 << i for i in range(9))
 STATS = [
     "words", "mean_word", "symbol_ratio", "digit_ratio", "upper_ratio", "vowel_ratio", "stop_lines", "common_words",
-    "line_length", "line_spread", "marked_lines", "in_prose", "in_list", "in_table", "in_junk",
+    "line_length", "line_spread", "marked_lines", "line_words", "numbers", "separators", "gaps", "pauses", "digit_ends", "open_ends",
+    "short_words", "single_marks", "unbroken", "repeats", "odd_marks", "pictures", "wide", "letters", "new_words", "fullness",
 ]
+#: Statistics without an upper bound are fitted by their logarithms.
+LOGARITHMIC = ["words", "mean_word", "line_length", "line_words", "separators", "gaps"]
 
 
 class _Flags:
@@ -181,19 +184,23 @@ def document_stats(texts: list[str]) -> np.ndarray:
     common_token = _COMMON[at] == word_hash
     common = by_line(common_token)
 
-    # Fields of a row.
+    # Separators, pauses and the ends of lines.
     next_space = np.append(space[1:], True)
-    tabs, semis, bars = count(codes == 9), count((codes == ord(";")) & ~next_space), count(codes == ord("|"))
+    separators = count((codes == 9) | (codes == ord(";")) & ~next_space | (codes == ord("|")))
     pauses = count(((codes == ord(",")) | (codes == ord(";")) | has(STOP)) & next_space)
-    gap = space & next_space & ~before & (codes != 10)
-    gaps = count(gap & (codes != 9))
-    quoted = count((codes == ord('"')) & np.append(codes[1:] == ord(","), False))
+    gaps = count(space & next_space & ~before & (codes != 10) & (codes != 9))
     last = np.maximum(feeds - 1, 0)
     while True:  # the last character shown
         step_back = (last > starts) & space[last]
         if not step_back.any():
             break
         last = last - step_back
+    first = starts.copy()
+    while True:
+        step_on = (first < feeds) & space[first]
+        if not step_on.any():
+            break
+        first = first + step_on
     ends_stop, ends_digit = (flag[last] & STOP) != 0, (flag[last] & DIGIT) != 0
     is_letter = has(LETTER)
     amid = np.append(False, is_letter[:-1]) & np.append(is_letter[1:], False)
@@ -201,19 +208,9 @@ def document_stats(texts: list[str]) -> np.ndarray:
     with np.errstate(over="ignore"):
         _, once = np.unique(word_hash ^ (token_line.astype(np.uint64) + np.uint64(1)) * _P, return_index=True)
     distinct = np.bincount(token_line[once], minlength=n_lines)
-    first = starts.copy()
-    while True:
-        step_on = (first < feeds) & space[first]
-        if not step_on.any():
-            break
-        first = first + step_on
 
     blank = (shown <= 0) | is_end
-    # Marks of list entries.
-    c0 = codes[np.minimum(first, size - 1)]
-    c1 = codes[np.minimum(first + 1, size - 1)]
-    c2 = codes[np.minimum(first + 2, size - 1)]
-    c3 = codes[np.minimum(first + 3, size - 1)]
+    c0, c1, c2, c3 = (codes[np.minimum(first + i, size - 1)] for i in range(4))
     digit0, digit1 = (table.flags[c0] & DIGIT) != 0, (table.flags[c1] & DIGIT) != 0
     close = lambda c: np.isin(c, [ord(")"), ord("."), ord("-")])
     bullet = np.isin(c0, [ord(x) for x in "•*·–—-◦▪"]) & (table.flags[c1] & SPACE != 0) | (c0 == ord("[")) & (c2 == ord("]"))
@@ -221,77 +218,58 @@ def document_stats(texts: list[str]) -> np.ndarray:
     letter = ((table.flags[c0] & LETTER) != 0) & (c1 == ord(")"))
     times = digit0 & ((c1 == 32) & (c2 == ord("x")) | digit1 & (c2 == 32) & (c3 == ord("x")))
     marked = (bullet | number | letter | times) & ~blank
-    safe = np.maximum(shown, 1)
-    fields, spaced = np.maximum.reduce([tabs, semis, bars - 1, quoted]) + 1, gaps + 1
-    first_token = np.minimum(np.searchsorted(token_line, np.arange(n_lines)), max(token_at.size - 1, 0))
-    # A row's key or date in front; '12:' is a line number.
-    coded = (tokens > 0) & (token_digits[first_token] > 0) & (codes[np.minimum(token_end[first_token], size) - 1] != ord(":"))
-    rule = (bars >= 3) & (letters + digits == 0)  # |---|---|
-    junk = (
-        (pictures + symbols - bars > 0.25 * safe)
-        | (letters >= 8) & (vowels < 0.24 * letters)
-        | (letters + digits + bars < 0.5 * safe) & (np.maximum(fields, spaced) < 3)
-        | (wide > 0.3 * safe) & (pictures > 0.08 * safe)
-        | (long_tokens > 0.6 * safe) & (fields < 3)
-        | (tokens >= 8) & (pair_tokens >= 0.8 * tokens) & (digits > 0.2 * safe)
-        | (tokens >= 5) & (single_tokens >= 0.8 * tokens)
-        | (letters >= 8) & (repeats >= 0.5 * letters)
-        | (odd >= 0.03 * safe) & (odd >= 3)
-        | (tokens >= 12) & (distinct <= 0.2 * tokens) & (distinct <= 6)
-    ) & ~rule & ~blank
-    row = (
-        (fields >= 3) & ((numbers >= 1) | (digits >= 0.15 * safe) | (bars >= 3) | (tabs + semis >= 2)) & (stops <= 0.1 * safe + 2)
-        | (spaced >= 3) & (numbers >= 2) & (numbers >= 0.22 * tokens)
-        | (spaced >= 4) & (numbers >= 2) & (numbers >= 0.12 * tokens) & coded
-        | (spaced >= 4) & (tokens <= 1.6 * spaced)
-        | (numbers >= 3) & (numbers >= 0.25 * tokens) & (common <= 0.34 * tokens) & ends_digit & ~marked
-        | rule
-    ) & ~junk & ~blank & (length < 400)
-
-    # Blocks of lines without a blank one between: pauses within them, or how evenly they are filled, tell running text.
+
+    # Running text goes on in the next line, often behind a frequent word.
+    last_token = np.searchsorted(token_line, np.arange(n_lines), side="right") - 1
     edge = np.append(True, blank[1:] | blank[:-1])
+    follows = np.append(~edge[1:], False) & ~blank
+    open_end = follows & (tokens > 0) & common_token[np.maximum(last_token, 0)]
+    # ... and fills its lines evenly: how long lines are that go on, against the longest of their block.
     block = np.cumsum(edge) - 1
-    of_block = lambda v: np.bincount(block, weights=v, minlength=block[-1] + 1)
-    plain = ~blank & ~junk & ~row
     widest = np.zeros(block[-1] + 1, dtype=np.int64)
-    np.maximum.at(widest, block, np.where(plain, length, 0))
-    follows = np.append(~edge[1:] & plain[1:], False) & plain  # another line of the block comes next
-    full = follows & (length >= 0.72 * widest[block])
-    inside = of_block(follows)
-    often = of_block(common * plain) / np.maximum(of_block(tokens * plain), 1)
-    wrapped = (of_block(full) >= 0.8 * np.maximum(inside, 1)) & (widest >= 40) & ((inside >= 1) & (often >= 0.3) | (inside >= 2) & (often >= 0.18))
-    # Running text breaks behind words like "de", "que", "the"; an entry doesn't end with one.
-    last_token = np.searchsorted(token_line, np.arange(n_lines), side="right") - 1
-    open_end = plain & follows & ~marked & (tokens > 0) & common_token[np.maximum(last_token, 0)]
-    wrapped |= (of_block(open_end) >= 0.12 * inside) & (of_block(open_end) >= 1)
-    paused = of_block((pauses + (stops > ends_stop)) * (plain & ~marked)) >= 0.4 * np.maximum(of_block(plain & ~marked), 1)
-    sole = np.bincount(text_of[~blank], minlength=n + 1)[text_of] == 1
-    said = ~marked & ((common >= 0.35 * tokens) & (tokens > 14) | sole & (common >= 0.3 * tokens) & (tokens >= 6))
-    entry = plain & ~said & (
-        marked & (length < 160) & ~(ends_stop & (common >= 0.3 * tokens) & (tokens > 12))
-        | ~marked & ~ends_stop & (length < 110) & (pauses - ends_stop < 2) & ~wrapped[block] & ~paused[block]
-    )
-    prose = ~blank & ~junk & ~row & ~entry
+    np.maximum.at(widest, block, length)
+    fullness = np.where(follows, length / np.maximum(widest[block], 1), 0)
 
     per_text = lambda v: np.bincount(text_of[~is_end], weights=v[~is_end], minlength=n)[:n]
     chars = np.maximum(per_text(shown), 1)
     n_shown = np.maximum(per_text(~blank), 1)
     n_tokens = per_text(tokens)
+    n_words = np.maximum(n_tokens, 1)
+    n_letters = np.maximum(per_text(letters), 1)
     mean_length = per_text(np.where(blank, 0, length)) / n_shown
     spread = np.sqrt(np.maximum(per_text(np.where(blank, 0, length.astype(float) ** 2)) / n_shown - mean_length**2, 0))
-    out[:, 0] = n_tokens
-    out[:, 1] = per_text(shown) / np.maximum(n_tokens, 1)
-    out[:, 2] = per_text(symbols) / chars
-    out[:, 3] = per_text(digits) / chars
-    out[:, 4] = per_text(uppers) / np.maximum(per_text(letters), 1)
-    out[:, 5] = per_text(vowels) / np.maximum(per_text(letters), 1)
-    out[:, 6] = per_text(ends_stop & ~blank) / n_shown
-    out[:, 7] = per_text(common) / np.maximum(n_tokens, 1)
-    out[:, 8] = mean_length
-    out[:, 9] = spread / np.maximum(mean_length, 1)
-    out[:, 10] = per_text(marked) / n_shown
-    for i, mask in enumerate((prose, entry, row, junk)):
-        out[:, 11 + i] = per_text(np.where(mask, shown, 0)) / chars
+    values = {
+        "words": n_tokens,
+        "mean_word": per_text(shown) / n_words,
+        "symbol_ratio": per_text(symbols) / chars,
+        "digit_ratio": per_text(digits) / chars,
+        "upper_ratio": per_text(uppers) / n_letters,
+        "vowel_ratio": per_text(vowels) / n_letters,
+        "stop_lines": per_text(ends_stop & ~blank) / n_shown,
+        "common_words": per_text(common) / n_words,
+        "line_length": mean_length,
+        "line_spread": spread / np.maximum(mean_length, 1),
+        "marked_lines": per_text(marked) / n_shown,
+        "line_words": n_tokens / n_shown,
+        "numbers": per_text(numbers) / n_words,
+        "separators": per_text(separators) / n_shown,
+        "gaps": per_text(gaps) / n_shown,
+        "pauses": per_text(pauses) / n_words,
+        "digit_ends": per_text(ends_digit & ~blank) / n_shown,
+        "open_ends": per_text(open_end) / n_shown,
+        "short_words": per_text(pair_tokens) / n_words,
+        "single_marks": per_text(single_tokens) / n_words,
+        "unbroken": per_text(long_tokens) / chars,
+        "repeats": per_text(repeats) / n_letters,
+        "odd_marks": per_text(odd) / chars,
+        "pictures": per_text(pictures) / chars,
+        "wide": per_text(wide) / chars,
+        "letters": per_text(letters) / chars,
+        "new_words": per_text(tokens * np.log1p(distinct) / np.log1p(np.maximum(tokens, 1))) / n_words,
+        "fullness": np.where(per_text(follows) > 0, per_text(fullness) / np.maximum(per_text(follows), 1), 1.0),
+    }
+    for i, name in enumerate(STATS):
+        out[:, i] = values[name]
     out[per_text(shown) == 0] = 0
     return out
 
@@ -299,8 +277,8 @@ def document_stats(texts: list[str]) -> np.ndarray:
 def _features(stats: np.ndarray) -> np.ndarray:
     """Statistics on scales on which a normal distribution is a fair picture."""
     x = stats.copy()
-    for i in (STATS.index("words"), STATS.index("mean_word"), STATS.index("line_length")):
-        x[:, i] = np.log1p(x[:, i])
+    for name in LOGARITHMIC:
+        x[:, STATS.index(name)] = np.log1p(x[:, STATS.index(name)])
     return x
 
 
@@ -326,28 +304,32 @@ def corpus_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return slim.mapInArrow(compute, schema)
 
 
-#: The mixture: components for each kind at the start, rounds at most, and the share of a variance below which none falls.
+#: The mixture: components for each kind at the start, and rounds at most (it ends before, where a round gains little).
 COMPONENTS_PER_KIND = 3
-MAX_ROUNDS = 12
-VARIANCE_FLOOR = 0.01
+MAX_ROUNDS = 40
 #: The mean log-likelihood of a document has to rise by so much for another round.
 LEAST_GAIN = 0.01
+#: What is added to each variance, and the part of a covariance between two statistics that is left out.
+VARIANCE_FLOOR = 0.02
+SHRINKAGE = 0.1
 #: At most so many labelled documents (those with the least hashes) start the mixture and name its components.
 MAX_LABELS = 20_000
 
 
 class Mixture:
-    """Gaussians with diagonal covariances over standardized features."""
+    """Gaussians with full covariances over standardized features."""
 
-    def __init__(self, weights: np.ndarray, means: np.ndarray, variances: np.ndarray):
-        self.weights, self.means, self.variances = weights, means, variances
+    def __init__(self, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray):
+        self.weights, self.means, self.covariances = weights, means, covariances
+        roots = np.linalg.cholesky(covariances)
+        self.whiten = np.linalg.inv(roots)
+        volume = np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(axis=1)
+        self.const = np.log(np.maximum(weights, 1e-12)) - volume - 0.5 * means.shape[1] * np.log(2 * np.pi)
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
         """log(weight * density) of each row under each component."""
-        const = np.log(np.maximum(self.weights, 1e-12)) - 0.5 * np.log(2 * np.pi * self.variances).sum(axis=1)
-        inverse = 1 / self.variances
-        square = (x**2) @ inverse.T - 2 * x @ (self.means * inverse).T + (self.means**2 * inverse).sum(axis=1)
-        return const - 0.5 * square
+        square = [(((x - m) @ w.T) ** 2).sum(axis=1) for m, w in zip(self.means, self.whiten, strict=True)]
+        return self.const - 0.5 * np.stack(square, axis=1)
 
     def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         joint = self.log_joint(x)
@@ -357,23 +339,26 @@ class Mixture:
         return each / total, float((np.log(total) + top).sum())
 
     def sums(self, x: np.ndarray) -> np.ndarray:
-        """What a round needs of some rows: per component its weight, sum and sum of squares; the likelihood in front."""
+        """What a round needs of some rows: per component its weight, sum and sum of products; the likelihood in front."""
         r, likelihood = self.responsibilities(x)
-        return np.concatenate([[likelihood], r.sum(axis=0), (r.T @ x).ravel(), (r.T @ x**2).ravel()])
+        products = [(x * r[:, [k]]).T @ x for k in range(r.shape[1])]
+        return np.concatenate([[likelihood], r.sum(axis=0), (r.T @ x).ravel(), np.stack(products).ravel()])
 
     def updated(self, sums: np.ndarray, rows: int) -> Mixture:
         k, d = self.means.shape
         n = sums[1 : 1 + k]
-        first, second = sums[1 + k : 1 + k + k * d].reshape(k, d), sums[1 + k + k * d :].reshape(k, d)
-        held = np.maximum(n, 1e-9)[:, None]
-        means = np.where(n[:, None] > 1e-6, first / held, self.means)
-        variances = np.where(n[:, None] > 1e-6, second / held - means**2, self.variances)
-        return Mixture(n / max(rows, 1), means, np.maximum(variances, VARIANCE_FLOOR))
+        first, second = sums[1 + k : 1 + k + k * d].reshape(k, d), sums[1 + k + k * d :].reshape(k, d, d)
+        held, there = np.maximum(n, 1e-9), n > 1e-6
+        means = np.where(there[:, None], first / held[:, None], self.means)
+        spread = second / held[:, None, None] - means[:, :, None] * means[:, None, :]
+        diagonal = np.eye(d) * np.maximum(np.diagonal(spread, axis1=1, axis2=2), 0)[:, None, :]
+        spread = (1 - SHRINKAGE) * spread + SHRINKAGE * diagonal + VARIANCE_FLOOR * np.eye(d)
+        return Mixture(n / max(rows, 1), means, np.where(there[:, None, None], spread, self.covariances))
 
 
 def _start(x: np.ndarray, kinds: np.ndarray) -> Mixture:
     """Components where the labelled documents lie: for each kind a few rounds of k-means from rows spread over it."""
-    means, variances, weights = [], [], []
+    means, covariances, weights = [], [], []
     for kind in np.unique(kinds):
         rows = x[kinds == kind]
         rows = rows[np.lexsort(rows.T)]
@@ -385,20 +370,20 @@ def _start(x: np.ndarray, kinds: np.ndarray) -> Mixture:
         for i in range(k):
             own = rows[nearest == i]
             means.append(centres[i])
-            variances.append(np.maximum(own.var(axis=0), 0.05) if len(own) else np.ones(x.shape[1]))
+            covariances.append(np.diag(np.maximum(own.var(axis=0), 0.2) if len(own) else np.ones(x.shape[1])))
             weights.append(max(len(own), 1) / len(x))
-    return Mixture(np.array(weights), np.array(means), np.array(variances))
+    return Mixture(np.array(weights), np.array(means), np.array(covariances))
 
 
 def _standardized(batch: pa.RecordBatch, first: int, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    stats = np.stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(len(STATS))], axis=1)
+    stats = np.stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(len(STATS))], axis=1).astype(float)
     return (_features(stats) - mean) / scale
 
 
 def fit_mixture(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", kind: str = "kind") -> tuple | None:
     """(mean, scale, mixture, kinds' shares of the components) over all rows of ``stats``; None without rows or labels."""
-    logs = ("words", "mean_word", "line_length")
-    features = [F.log1p(F.col(s)) if s in logs else F.col(s) for s in STATS]
+    numbers = {s: F.col(s).cast("double") for s in STATS}
+    features = [F.log1p(c) if s in LOGARITHMIC else c for s, c in numbers.items()]
     moments = stats.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(features) for f in (F.avg, F.stddev_pop))).first()
     rows = moments["n"]
     if not rows:
@@ -434,7 +419,11 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", kin
         before = total[0] / rows
     r, _ = mixture.responsibilities(x)
     named = np.stack([r[kinds == i].sum(axis=0) for i in range(len(KINDS))], axis=1)
-    # A component without labelled documents says as little as their overall shares.
+    # A component without a labelled document is named as the nearest one that has some.
+    some = named.sum(axis=1) >= 0.5
+    for i in np.flatnonzero(~some & some.any()):
+        away = ((mixture.means - mixture.means[i]) ** 2).sum(axis=1)
+        named[i] = named[np.where(some, away, np.inf).argmin()]
     named = named + 1e-3 * np.bincount(kinds, minlength=len(KINDS)) / len(kinds)
     return mean, scale, mixture, named / named.sum(axis=1, keepdims=True)
 
@@ -442,13 +431,13 @@ def fit_mixture(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", kin
 def document_kinds(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kind, probability) of every document with a visible text."""
     slim = docs.select(doc_id, text)
-    stats = durable(corpus_stats(slim, doc_id, text).where(F.col("words") > 0))
+    # Each round reads the statistics again: they are written once, in single precision.
+    stats = durable(corpus_stats(slim, doc_id, text).where(F.col("words") > 0).select(doc_id, *(F.col(s).cast("float") for s in STATS)))
     fitted = fit_mixture(stats, labels, doc_id)
     schema = T.StructType([slim.schema[doc_id], T.StructField("kind", T.StringType()), T.StructField("probability", T.DoubleType())])
     if fitted is None:
         return docs.sparkSession.createDataFrame([], schema)
     mean, scale, mixture, named = fitted
-    shares_at = STATS.index("in_prose")
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(KINDS, dtype=object)
@@ -458,10 +447,6 @@ def document_kinds(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
             x = _standardized(batch, 1, mean, scale)
             probable = mixture.responsibilities(x)[0] @ named
             kind = probable.argmax(axis=1)
-            # The exact check: a kind that holds no larger part of the characters gives way to the one that does.
-            shares = np.stack([batch.column(1 + shares_at + i).to_numpy(zero_copy_only=False) for i in range(len(KINDS))], axis=1)
-            minor = shares[np.arange(len(kind)), kind] <= 0.5
-            kind[minor] = shares[minor].argmax(axis=1)
             probability = probable[np.arange(len(kind)), kind]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[kind], pa.string()), pa.array(probability)], names=[doc_id, "kind", "probability"])
 

@@ -76,7 +76,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.corpus_stats(table(spark, sf_dir, "documents"))
-    names = {"mean_word": "mean_word_length", "digit_ratio": "digit_ratio", "upper_ratio": "upper_ratio", "stop_lines": "stop_line_share", "common_words": "common_word_share"}
+    names = {
+        "mean_word": "mean_word_length", "symbol_ratio": "symbol_ratio", "digit_ratio": "digit_ratio", "upper_ratio": "upper_ratio", "letters": "letter_ratio",
+        "stop_lines": "stop_line_share", "common_words": "common_word_share", "line_length": "mean_line_length", "line_words": "words_per_line",
+    }
     return stats.select("doc_id", F.col("words").cast("long").alias("words"), *(F.round(a, 6).alias(b) for a, b in names.items()))
 
 
@@ -118,9 +121,12 @@ WITH d AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10)
 p AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '') w,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\s\x0b\x1c-\x1f\x{85}\p{Z}]')) l,
              length(regexp_replace(t, '[^\p{L}\p{M}]', '', 'g')) letters, length(regexp_replace(t, '[^\p{N}]', '', 'g')) digits,
-             length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) uppers, length(regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g')) shown
+             length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) uppers, length(regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g')) shown,
+             length(regexp_replace(t, '[^.?!…。！？؟।,;:()¿¡«»"''’“”/-]', '', 'g')) marks
       FROM d)
 SELECT doc_id, len(w) AS words, round(shown / greatest(len(w), 1), 6) AS mean_word_length,
+       round((shown - letters - digits - marks) / greatest(shown, 1), 6) AS symbol_ratio, round(letters / greatest(shown, 1), 6) AS letter_ratio,
+       round(coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) / greatest(len(l), 1), 6) AS mean_line_length, round(len(w) / greatest(len(l), 1), 6) AS words_per_line,
        round(digits / greatest(shown, 1), 6) AS digit_ratio, round(uppers / greatest(letters, 1), 6) AS upper_ratio,
        round(len(list_filter(l, lambda x: regexp_matches(x, '[.?!…。！？؟।][\s\x0b\x1c-\x1f\x{85}\p{Z}]*$'))) / greatest(len(l), 1), 6) AS stop_line_share,
        round(len(list_filter(w, lambda x: regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}]', '', 'g') IN ("""

@@ -7,15 +7,17 @@ TABLE = "CODIGO;DESCRIPCION;CANT;PRECIO\nAB123;Tubo de cobre;4;10,50\nAB124;Codo
 JUNK = "~~~~~~~~ ~~~~\n:::::::::::\n- - - - - - - -\nl l l I I I | | |\n............... 85\n____________________"
 
 
-def kind_of(text):
-    return q.KINDS[q.document_stats([text])[0][q.STATS.index("in_prose") :].argmax()]
+def stats_of(text):
+    return dict(zip(q.STATS, q.document_stats([text])[0], strict=True))
 
 
-def test_kinds_by_characters():
-    assert [kind_of(x) for x in (PROSE, LIST, TABLE, JUNK)] == q.KINDS
-    assert kind_of(PROSE.upper()) == "prose" and kind_of("> " + PROSE.replace(" que ", " que\n> ")) == "prose"
-    assert kind_of(PROSE + "\n" + LIST[:40]) == "prose" and kind_of(PROSE[:60] + "\n" + TABLE * 3) == "table"
-    assert kind_of("de la " * 100) == "junk" and kind_of("00000000  ec 22 3b 35 34 ec a0 fd ec f4 f3 c1 60 20 49 7d\n" * 4) == "junk"
+def test_statistics_tell_kinds_apart():
+    prose, entries, table, junk = (stats_of(x) for x in (PROSE, LIST, TABLE, JUNK))
+    assert table["separators"] == 3 and prose["separators"] == entries["separators"] == 0
+    assert entries["marked_lines"] > 0.8 and prose["marked_lines"] == table["marked_lines"] == 0
+    assert prose["common_words"] > 0.4 > entries["common_words"] and prose["stop_lines"] == 1 and entries["stop_lines"] == 0
+    assert junk["letters"] < 0.2 and table["digit_ends"] > 0.7
+    assert stats_of("de la " * 100)["new_words"] < 0.3 < stats_of(PROSE)["new_words"]
 
 
 def test_texts_do_not_mix():
@@ -58,12 +60,14 @@ def test_nothing_to_learn_from(spark):
 
 def test_mixture_finds_two_heaps():
     r = np.random.default_rng(1)
-    x = np.concatenate([r.normal(-2, 0.5, (400, 3)), r.normal(2, 1, (600, 3))])
+    narrow = np.array([[1, 0.9, 0], [0, 0.4, 0], [0, 0, 1]])
+    x = np.concatenate([r.normal(0, 0.5, (400, 3)) @ narrow - 2, r.normal(2, 1, (600, 3))])
     m = q._start(x, (x[:, 0] > 0).astype(int))
     before = -np.inf
     for _ in range(20):
         sums = m.sums(x[:500]) + m.sums(x[500:])
-        assert sums[0] >= before - 1e-6
+        assert sums[0] >= before - 5  # a floor and shrinkage keep it from rising strictly
         before, m = sums[0], m.updated(sums, len(x))
+    assert np.allclose(m.sums(x), m.sums(x[:123]) + m.sums(x[123:]))
     heavy = m.means[m.responsibilities(x)[0].sum(axis=0) > 50][:, 0]
     assert heavy.min() < -1 and heavy.max() > 1
