@@ -25,6 +25,8 @@ def value(spark, column, **columns):
         (order_codes.clean, " /25.001-01/h- ", "25.001-01/H"), (order_codes.strip_noise, "A220126/L519325", "A220126/L"),
         (order_codes.strip_noise, "26.501/01/H519162", "26.501/01/H"), (order_codes.truncate, "A2600126/L-XX", "A2600126"),
         (order_codes.truncate, "25.62501/E", "25625/01"), (order_codes.truncate, "26.001/1", "26001/01"), (order_codes.truncate, "2600126", "26001/26"),
+        (order_codes.truncate, "A/26O0126", "A2600126"), (order_codes.truncate, "pedido 12345/L", "12345/01"), (order_codes.truncate, "12345/678901", "12345"),
+        (order_codes.truncate, "2.6.0.0.1.7", "26001"), (order_codes.truncate, None, ""), (order_codes.plausible, "26.501/01/H", True), (order_codes.plausible, "2/-01/01/H", False),
         (order_codes.truncate, "abc", ""), (order_codes.keep_suffix, "1110226/L", "A110226/L"), (order_codes.keep_suffix, "A110226L", "A110226/L"),
         (order_codes.keep_suffix, "1.83/8987", ""), (order_codes.keep_suffix, "26.501/04/H", "26.501/04/H"), (order_codes.looks_like_note, "AV 12345", True),
         (order_codes.looks_like_note, None, False), (order_codes.looks_like_date, "20240131", True), (order_codes.looks_like_phone, "943 123 456", True),
@@ -34,6 +36,12 @@ def test_scalars(spark, f, x, want):
     assert value(spark, f("x"), x=x) == want
 
 
+def test_refusals(spark):
+    rule = {"min_length": F.lit(5), "min_digits": F.lit(3), "require_alpha": F.lit(True), "allow_numeric": F.lit(False)}
+    why = lambda x: value(spark, order_codes.refusals(F.col("x"), rule), x=x)
+    assert why("A260126") == [] and why("A1") == ["short", "few_digits"] and why("123456") == ["no_letter", "bare_number"] and why("12.345") == ["no_letter"]
+
+
 def test_first_matches(spark):
     p = [r"pedido ([0-9]+)", r"ref ([a-z]+)"]
     assert value(spark, tx.first_match("x", p), x="ref abc pedido 12") == "12"
