@@ -305,13 +305,13 @@ def corpus_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 #: The mixture: components for each kind at the start, and rounds at most (it ends before, where a round gains little).
-COMPONENTS_PER_KIND = 3
+COMPONENTS_PER_KIND = 5
 MAX_ROUNDS = 40
 #: The mean log-likelihood of a document has to rise by so much for another round.
 LEAST_GAIN = 0.01
 #: What is added to each variance, and the part of a covariance between two statistics that is left out.
 VARIANCE_FLOOR = 0.02
-SHRINKAGE = 0.1
+SHRINKAGE = 0.02
 #: At most so many labelled documents (those with the least hashes) start the mixture and name its components.
 MAX_LABELS = 20_000
 
