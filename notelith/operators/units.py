@@ -1,20 +1,23 @@
 """Quantities and prices that sources wrote down in different units, brought to m, kg, l or pieces and euro per one.
 
-What a record says about its unit (behind the quantity, in the unit field, in the description's suffix, behind the
-price) is read with column expressions. A hidden Markov model then decodes the unit of each record: a series is the
-records of one line in the order of time, the hidden state the factor by which the written value has to be multiplied
-on top of what was read, the observations are the jumps of log quantity and log price against the level of the record
-before. A unit that was read, or the rule that no unit anywhere means the common unit, outweighs any jump; where a unit
-was named but can't be read, the Viterbi path of the series decides. The series are decoded together, step by step, in
-arrays.
-
-Scale: one shuffle by line. Lines with more than ``HOT_LINE`` records are cut into parts by hash (there are few such
-lines, which is checked), and a series is decoded in windows of ``WINDOW`` records, so that no task holds a hot line.
+A hidden Markov model decodes the unit of each record. A series is the records of one line in the order of time, the
+hidden state the factor of the unit that the record was written in. What a record says about its unit (behind the
+quantity, in the unit field, in the description's suffix, behind the price) is the emission: it costs ``READ_COST`` to
+decode another unit than the one named (or, where none is named, than the common one), and little where a unit is named
+but can't be read. The jumps of log quantity and log price against the level of the record before are the transitions.
+So a unit that was read stands against any single neighbour, and gives way where quantity and price both jump by exactly
+another unit's factor on both sides. Series are decoded together, step by step, in arrays.
+
+Scale: one sort by line and time into ranges. A series may lie in many ranges: each range hands the driver the costs
+between all first and last states of its first and last series (two small matrices a range, so at most twice the number
+of shuffle partitions), the chains of those fix the states at the ranges' edges, and every range is decoded between them.
+That is the exact path of the whole series, however it is cut. A series longer than a batch is decoded up to where all
+paths have met, so no task holds a long one.
 
 Defined cases
 -------------
 * The last comma or point of a number is its decimal sign; a text without a number in front is a missing number.
-* Missing numbers stay null; null, empty and blank texts say nothing. A price of 0 or less is kept.
+* Missing numbers stay null and cost nothing; null, empty and blank texts say nothing. A price of 0 or less is kept.
 * The field beside the value speaks first: quantity text, unit field, description, price for the quantity; price, unit
   field, description, quantity text for the price.
 * A package counts with its content, without a unit behind the number its content is pieces.
@@ -31,11 +34,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelith.runtime import ship
+from notelith.functions.text import let
+from notelith.operators.skew import join_by_key
+from notelith.runtime import durable, ship
 
 # Spellings of units with the common unit and the factor.
 UNITS = [
@@ -67,14 +73,15 @@ _PACKAGE = rf"^(?:{PACKAGES})\s*(?:de\b|/)?\s*(\d[\d.,]*)\s*(\S*)$"
 _SUFFIX = r"(?:\[|\(cant\. en |Unidad:\s*|servido por |- medido en )([^\[\]()]+?)[\])]?\s*$"
 _PRICE = r"^\s*([-+]?\d[\d.,]*)\s*(€|(?i:euros?|eur|céntimos?|centimos?|cts\.?|cént\.?|cent\.?))?\s*(?:/|por\b|x\b)?\s*(\d[\d.,]*)?\s*(.*?)\s*$"
 
-#: What a record may have to be multiplied with on top of what was read; the first state is "as read".
-STATES = np.array([1, 1e-3, 1e-2, 1e-1, 10, 100, 1e3, 2, 0.5, 12, 1 / 12, 25, 1 / 25])
-#: Costs (negative log-likelihoods): leaving a unit that was read or ruled; any state of an unreadable unit.
-READ_COST, UNREADABLE_COST = 60.0, 3.0
+#: The hidden states: the factors of all units.
+STATES = np.array(sorted({f for _, f, _ in UNITS}))
+_ONE = int(np.flatnonzero(STATES == 1.0)[0])
+#: Costs (negative log-likelihoods): another unit than the one named or ruled; another than the common one where a unit can't be read.
+READ_COST, UNREADABLE_COST = 12.0, 0.5
 #: Spread of the level between records of one line, and the most that one jump may cost.
 LEVEL_SPREAD, MAX_JUMP_COST = 0.05, 4.0
-WINDOW = 512
-HOT_LINE, MAX_HOT_LINES = 100_000, 10_000
+#: Records of one series that are held before those are given out whose states are certain.
+LONG = 20_000
 
 
 def _text(c: Column) -> Column:
@@ -88,33 +95,46 @@ def number(c: Column) -> Column:
     return F.replace(one, F.lit(","), F.lit(".")).try_cast("double")
 
 
+def _groups(c: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern that spans the whole text, as an array; one pass of the pattern."""
+    marked = F.regexp_replace(c, f"(?s){pattern}", "\u0001".join(f"${i}" for i in range(1, n + 1)))
+    return F.when(c.rlike(f"(?s){pattern}"), F.split(marked, "\u0001"))
+
+
 def _unit(c: Column) -> Column:
-    """struct(base, factor), null where the text names no unit that is known."""
-    known = F.create_map(*(x for base, f, names in UNITS for n in names.split() for x in (F.lit(n), F.struct(F.lit(base).alias("base"), F.lit(f).alias("factor")))))
-    folded = F.regexp_replace(F.translate(F.lower(F.trim(c)), "áéíóúü", "aeiouu"), r"\.+$", "")
-    content = F.nullif(F.regexp_extract(folded, _PACKAGE, 1), F.lit(""))
-    of = F.nullif(F.regexp_replace(F.regexp_extract(folded, _PACKAGE, 2), r"\.+$", ""), F.lit(""))
-    inner = F.try_element_at(known, F.coalesce(of, F.lit("ud")))
-    package = F.when(content.isNotNull() & inner.isNotNull(), F.struct(inner["base"].alias("base"), (inner["factor"] * number(content)).alias("factor")))
-    return F.coalesce(F.try_element_at(known, folded), package)
+    """struct(base, factor, inner), null where the text names no unit that is known; ``inner`` is the factor of a package's unit."""
+    struct = lambda base, f: F.struct(F.lit(base).alias("base"), F.lit(f).alias("factor"), F.lit(f).alias("inner"))
+    known = F.create_map(*(x for base, f, names in UNITS for n in names.split() for x in (F.lit(n), struct(base, f))))
+
+    def of(folded: Column) -> Column:
+        content = F.nullif(F.regexp_extract(folded, _PACKAGE, 1), F.lit(""))
+        named = F.nullif(F.regexp_replace(F.regexp_extract(folded, _PACKAGE, 2), r"\.+$", ""), F.lit(""))
+        package = let(
+            F.try_element_at(known, F.coalesce(named, F.lit("ud"))),
+            lambda u: F.when(content.isNotNull() & u.isNotNull(), F.struct(u["base"].alias("base"), (u["factor"] * number(content)).alias("factor"), u["factor"].alias("inner"))),
+        )
+        return F.when(folded.rlike("[0-9]"), F.coalesce(F.try_element_at(known, folded), package)).otherwise(F.try_element_at(known, folded))
+
+    return F.when(c.isNotNull(), let(F.regexp_replace(F.translate(F.lower(F.trim(c)), "áéíóúü", "aeiouu"), r"\.+$", ""), of))
 
 
 def read_records(df: DataFrame) -> DataFrame:
-    """What the fields say, as numbers: quantity, price for ``per`` units, and the units named beside each."""
-    quantity, price = F.col("CantidadServida"), F.col("PrecioUnitario")
-    said = df.select(
-        F.col("rec_id").alias("rec_id"),
+    """What the fields say: quantity and price as written (in euro, for one recorded unit), the factors named for each, the unit's own factor and base."""
+    quantity, price = _groups(F.col("CantidadServida"), _NUMBER, 2), _groups(F.col("PrecioUnitario"), _PRICE, 4)
+    parted = df.select("rec_id", "AlbaranNumero", "Codigo", "recorded_at", "UnidadMedida", "UnidadesPor", "Descripcion", quantity.alias("q"), price.alias("p"))
+    said = parted.select(
+        "rec_id",
         F.col("AlbaranNumero").alias("note"),
         F.col("Codigo").alias("code"),
         F.col("recorded_at").alias("at"),
-        number(F.regexp_extract(quantity, _NUMBER, 1)).alias("quantity"),
-        _text(F.regexp_extract(quantity, _NUMBER, 2)).alias("in_quantity"),
+        number(F.get("q", 0)).alias("quantity"),
+        _text(F.get("q", 1)).alias("in_quantity"),
         _text(F.col("UnidadMedida")).alias("in_field"),
         _text(F.regexp_extract(F.col("Descripcion"), _SUFFIX, 1)).alias("in_description"),
-        number(F.regexp_extract(price, _PRICE, 1)).alias("amount"),
-        F.lower(F.regexp_extract(price, _PRICE, 2)).startswith("c").alias("in_cents"),
-        number(F.regexp_extract(price, _PRICE, 3)).alias("per_text"),
-        _text(F.regexp_extract(price, _PRICE, 4)).alias("in_price"),
+        number(F.get("p", 0)).alias("amount"),
+        F.lower(F.get("p", 1)).startswith("c").alias("in_cents"),
+        number(F.get("p", 2)).alias("per_text"),
+        _text(F.get("p", 3)).alias("in_price"),
         F.upper(F.regexp_replace(F.col("UnidadesPor"), r"[\s/]", "")).alias("per_field"),
     )
     letters = F.create_map(*(F.lit(x) for pair in PER_LETTERS.items() for x in pair))
@@ -126,115 +146,249 @@ def read_records(df: DataFrame) -> DataFrame:
     positive = lambda c: F.when(c > 0, c)
     per = F.coalesce(F.try_element_at(letters, F.col("per_field")), positive(number(F.col("per_field"))), positive(F.col("per_text")), F.lit(1.0))
     return read.select(
-        "rec_id", "note", "code", "at",
-        (F.col("quantity") * F.coalesce(for_quantity["factor"], F.lit(1.0))).alias("quantity"),
-        (F.when(F.col("in_cents"), F.col("amount") / 100).otherwise(F.col("amount")) / per / F.coalesce(for_price["factor"], F.lit(1.0))).alias("price"),
+        "rec_id", "note", "code", "at", "quantity",
+        (F.when(F.col("in_cents"), F.col("amount") / 100).otherwise(F.col("amount")) / per).alias("price"),
+        F.coalesce(for_quantity["factor"], F.lit(1.0)).alias("quantity_factor"),
+        F.coalesce(for_price["factor"], F.lit(1.0)).alias("price_factor"),
+        F.coalesce(for_quantity["inner"], F.lit(1.0)).alias("unit_factor"),
         for_quantity["base"].alias("base"),
         (named & for_quantity.isNull()).alias("unreadable"),
     )
 
 
-def viterbi(log_quantity: np.ndarray, log_price: np.ndarray, unreadable: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The state of each record; rows are sorted by series and time, ``first`` marks where a series begins.
+class Series:
+    """Records sorted by series and time as arrays: what they say and where a series begins."""
+
+    def __init__(self, t: pa.Table):
+        column = lambda c: t[c].to_numpy().astype(float)
+        self.quantity, self.price = column("quantity"), column("price")
+        self.quantity_factor, self.price_factor = column("quantity_factor"), column("price_factor")
+        self.named = np.searchsorted(STATES, column("unit_factor"))
+        self.unreadable = t["unreadable"].to_numpy(zero_copy_only=False).astype(bool)
+        own = np.log(STATES[self.named])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.logs = [np.where(np.abs(v) > 0, np.log(np.abs(v)), np.nan) for v in (self.quantity, self.price)]
+        # In the unit of factor 1 behind what is fixed: a package's content, a price for another unit.
+        self.logs[0] = self.logs[0] + np.log(self.quantity_factor) - own
+        self.logs[1] = self.logs[1] - np.log(self.price_factor) + own
+        key = pc.binary_join_element_wise(*(pc.fill_null(t[c].cast(pa.string()), "\x00") for c in ("note", "code")), "\x1f")
+        self.key = key.combine_chunks() if isinstance(key, pa.ChunkedArray) else key
+        n = t.num_rows
+        self.first = np.ones(n, dtype=bool)
+        if n > 1:
+            self.first[1:] = pc.not_equal(self.key.slice(1), self.key.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+
+    def emission(self) -> np.ndarray:
+        at = np.arange(STATES.size)
+        return np.where(at == self.named[:, None], 0.0, np.where(self.unreadable[:, None], UNREADABLE_COST, READ_COST))
+
+    def converted(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Quantity and price in the common unit of the decoded states."""
+        moved = STATES[state] / STATES[self.named]
+        return self.quantity * self.quantity_factor * moved, self.price / self.price_factor / moved
+
+
+_STEP = np.log(STATES)[None, :] - np.log(STATES)[:, None]  # [from, to]
+
+
+def _jumps(now: tuple, before: tuple) -> np.ndarray:
+    """[record, from, to]: what the jumps of quantity and price cost from each state to each."""
+    total = np.zeros((len(now[0]), STATES.size, STATES.size))
+    for value, last, sign in zip(now, before, (1, -1), strict=True):
+        jump = (value - last)[:, None, None] + sign * _STEP
+        total += np.nan_to_num(np.minimum(jump**2 / (2 * LEVEL_SPREAD**2), MAX_JUMP_COST), nan=0.0)
+    return total
 
-    Missing values are NaN and cost nothing. All series advance together, one record a step.
+
+def viterbi(logs: list[np.ndarray], emission: np.ndarray, first: np.ndarray, entry: np.ndarray | None = None, last_state: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state of each record, costs, back pointers); ``first`` marks where a series begins.
+
+    All series advance together, one record a step. ``entry``: further costs of the first record's states;
+    ``last_state``: the state in which the last series has to end.
     """
-    n, k = log_quantity.size, STATES.size
-    factor = np.log(STATES)
-    emission = np.where(unreadable[:, None], UNREADABLE_COST, np.where(np.arange(k) == 0, 0.0, READ_COST))
-    cost, back = emission.copy(), np.zeros((n, k), dtype=np.int16)
+    n, k = emission.shape
+    cost, back = emission.copy(), np.zeros((n, k), dtype=np.int8)
+    if entry is not None and n:
+        cost[0] = cost[0] + entry
     start = np.flatnonzero(first)
     length = np.diff(np.append(start, n))
     for t in range(1, int(length.max(initial=0))):
         now = start[length > t] + t
-        jumps = 0.0
-        for value, sign in ((log_quantity, 1), (log_price, -1)):
-            jump = (value[now] - value[now - 1])[:, None, None] + sign * (factor[None, None, :] - factor[None, :, None])
-            jumps = jumps + np.nan_to_num(np.minimum(jump**2 / (2 * LEVEL_SPREAD**2), MAX_JUMP_COST), nan=0.0)
-        through = cost[now - 1][:, :, None] + jumps
+        through = cost[now - 1][:, :, None] + _jumps(tuple(v[now] for v in logs), tuple(v[now - 1] for v in logs))
         back[now] = through.argmin(axis=1)
         cost[now] = through.min(axis=1) + emission[now]
     state = np.zeros(n, dtype=np.int64)
     end = start + length - 1
     state[end] = cost[end].argmin(axis=1)
+    if last_state is not None and n:
+        state[n - 1] = last_state
     for t in range(int(length.max(initial=0)) - 1, 0, -1):
         now = start[length > t] + t
         state[now - 1] = back[now, state[now]]
-    return state
-
-
-def _decode(t: pa.Table) -> pa.Table:
-    key = pc.binary_join_element_wise(*(pc.fill_null(t[c].cast(pa.string()), "\x00") for c in ("note", "code", "part")), "\x1f")
-    codes = key.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    first = np.append(True, codes[1:] != codes[:-1])[: t.num_rows]
-    start = np.flatnonzero(first)
-    place = np.arange(t.num_rows) - np.repeat(start, np.diff(np.append(start, t.num_rows)))
-    first |= place % WINDOW == 0
-    quantity, price = (t[c].to_numpy().astype(float) for c in ("quantity", "price"))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        logs = [np.where(np.abs(v) > 0, np.log(np.abs(v)), np.nan) for v in (quantity, price)]
-    state = viterbi(*logs, t["unreadable"].to_numpy(zero_copy_only=False).astype(bool), first)
-    f = STATES[state]
-    # A line's records that name no unit are in the unit of those that do.
-    series = np.cumsum(first) - 1
-    bases = t["base"].to_pylist()
-    named: dict[int, str] = {}
-    for s, b in zip(series, bases, strict=True):
-        if b is not None:
-            named.setdefault(int(s), b)
-    base = [b if b is not None else named.get(int(s)) for s, b in zip(series, bases, strict=True)]
-    numbers = lambda v: pa.array(v, pa.float64(), from_pandas=True)  # noqa: E731  NaN comes from null
-    return pa.table(
-        [t["rec_id"], t["note"], t["code"], numbers(quantity * f), numbers(price / f), pa.array(base, pa.string())],
-        names=["rec_id", "note", "code", "quantity", "price", "base"],
-    )
-
-
-def common_units(df: DataFrame) -> DataFrame:
-    """(rec_id, note, code, quantity, price, base) of each record in common units."""
+    return state, cost, back
+
+
+def _met(back: np.ndarray) -> int:
+    """Records of one series, from its first, whose states are the same on all paths."""
+    at = np.arange(back.shape[1])
+    for t in range(len(back) - 1, 0, -1):
+        at = back[t, at]
+        if (at == at[0]).all():
+            return t
+    return 0
+
+
+_EDGE = "part int, place int, key string, first array<double>, last array<double>, costs array<double>"
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last series of a range: the costs from each state of its first record to each of its last there."""
+    part, k = TaskContext.get().partitionId(), STATES.size
+    place, now = 0, None
+
+    def row() -> pa.RecordBatch:
+        values = [[part], [place], [now["key"]], [now["first"]], [now["last"]], [now["costs"].ravel().tolist()]]
+        kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.list_(pa.float64())] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["part", "place", "key", "first", "last", "costs"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s = Series(pa.Table.from_batches([batch]))
+        begin = np.flatnonzero(s.first)
+        stop = np.append(begin[1:], batch.num_rows)
+        emission = s.emission()
+        for i, (a, b) in enumerate(zip(begin, stop, strict=True)):
+            key = s.key[int(a)].as_py()
+            if now is not None and key != now["key"]:
+                if place == 0:
+                    yield row()
+                place, now = 1, None
+            if place and now is None and i + 1 < len(begin):
+                continue  # a whole series within the range
+            at = int(a)
+            if now is None:
+                now = {"key": key, "first": [float(v[at]) for v in s.logs], "costs": np.where(np.eye(k, dtype=bool), emission[at][None], np.inf)}
+                at += 1
+            before = now.get("last", now["first"])
+            for low in range(at, int(b), 4096):
+                high = min(low + 4096, int(b))
+                logs = tuple(v[low:high] for v in s.logs)
+                last = tuple(np.append(p, v[:-1]) for p, v in zip(before, logs, strict=True))
+                for jump, e in zip(_jumps(logs, last), emission[low:high], strict=True):
+                    now["costs"] = (now["costs"][:, :, None] + jump[None]).min(axis=1) + e
+                before = [float(v[-1]) for v in logs]
+            now["last"] = before
+            if place == 0 and i + 1 < len(begin):
+                yield row()
+                place, now = 1, None
+    if now is not None:
+        yield row()
+
+
+def _fixed_states(edges: list) -> dict[tuple[int, int], tuple[int, int]]:
+    """(range, place) -> first and last state there of each series that goes over an edge."""
+    edges = sorted(edges, key=lambda r: (r["part"], r["place"]))
+    k, fixed, i = STATES.size, {}, 0
+    while i < len(edges):
+        j = i + 1
+        while j < len(edges) and edges[j]["key"] == edges[i]["key"]:
+            j += 1
+        chain = [(np.array(r["first"]), np.array(r["last"]), np.array(r["costs"]).reshape(k, k)) for r in edges[i:j]]
+        if len(chain) > 1:
+            entry, over, out = [np.zeros(k)], [None], [chain[0][2].min(axis=0)]
+            for (_, last, _), (first, _, costs) in zip(chain, chain[1:], strict=False):
+                jump = _jumps((first[:1], first[1:]), (last[:1], last[1:]))[0]
+                through = out[-1][:, None] + jump
+                over.append(through.argmin(axis=0))
+                entry.append(through.min(axis=0))
+                out.append((entry[-1][:, None] + costs).min(axis=0))
+            end = int(out[-1].argmin())
+            for m in range(len(chain) - 1, -1, -1):
+                begin = int((entry[m] + chain[m][2][:, end]).argmin())
+                fixed[edges[i + m]["part"], edges[i + m]["place"]] = (begin, end)
+                if m:
+                    end = int(over[m][begin])
+        i = j
+    return fixed
+
+
+def _only(state: int) -> np.ndarray:
+    return np.where(np.arange(STATES.size) == state, 0.0, np.inf)
+
+
+def common_units(df: DataFrame, of_line: bool = True) -> DataFrame:
+    """(rec_id, note, code, quantity, price, base) of each record in common units; ``of_line``: records that name no unit get the line's base."""
     ship(df.sparkSession)
-    read = read_records(df)
-    rows = df.count()
-    lines = df.groupBy(F.col("AlbaranNumero").alias("note"), F.col("Codigo").alias("code")).agg(F.count("*").alias("n"))
-    hot_from = max(HOT_LINE, rows // MAX_HOT_LINES)
-    hot = F.broadcast(lines.where(F.col("n") > hot_from))  # MAX_HOT_LINES rows at most
-    parted = read.join(hot, read["note"].eqNullSafe(hot["note"]) & read["code"].eqNullSafe(hot["code"]), "left").select(
-        *(read[c] for c in read.columns),
-        F.coalesce(F.pmod(F.xxhash64(read["rec_id"]), F.ceil(hot["n"] / F.lit(float(hot_from)))), F.lit(0)).alias("part"),
-    )
-    series = parted.repartition("note", "code", "part").sortWithinPartitions("note", "code", "part", "at", "rec_id")
-    slim = df.select("rec_id", "AlbaranNumero", "Codigo").schema
+    order = ["AlbaranNumero", "Codigo", "recorded_at", "rec_id"]
+    raw = df.select("rec_id", "AlbaranNumero", "Codigo", "Descripcion", "CantidadServida", "UnidadMedida", "UnidadesPor", "PrecioUnitario", "recorded_at")
+    # Ranges are read from the raw columns, and parsed once.
+    read = durable(read_records(raw.repartitionByRange(*order).sortWithinPartitions(*order)).drop("at"))
+    fixed = _fixed_states(read.mapInArrow(_edges, _EDGE).collect())  # two small rows a range
     schema = T.StructType(
         [
-            T.StructField("rec_id", slim["rec_id"].dataType), T.StructField("note", slim["AlbaranNumero"].dataType), T.StructField("code", slim["Codigo"].dataType),
+            T.StructField("rec_id", read.schema["rec_id"].dataType), T.StructField("note", read.schema["note"].dataType), T.StructField("code", read.schema["code"].dataType),
             T.StructField("quantity", T.DoubleType()), T.StructField("price", T.DoubleType()), T.StructField("base", T.StringType()),
         ]
     )
 
+    def given(t: pa.Table, s: Series, state: np.ndarray) -> list[pa.RecordBatch]:
+        quantity, price = s.converted(state)
+        numbers = lambda v: pa.array(v, pa.float64(), from_pandas=True)  # noqa: E731  NaN comes from null
+        return pa.table([t["rec_id"], t["note"], t["code"], numbers(quantity), numbers(price), t["base"]], names=schema.names).to_batches()
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole series at a time: the last series of a batch may go on in the next one, up to a window."""
-        held: pa.Table | None = None
+        part = TaskContext.get().partitionId()
+        held, place, entry = None, 0, None
+        if (part, 0) in fixed:
+            entry = _only(fixed[part, 0][0])
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            n = held.num_rows
-            if n < 2:
+            held = t if held is None or not held.num_rows else pa.concat_tables([held, t])
+            if held.num_rows < 2:
                 continue
-            last = held.slice(n - 1, 1)
-            same = np.ones(n, dtype=bool)
-            for c in ("note", "code", "part"):
-                v = last[c][0]
-                col = held[c]
-                same &= (pc.is_null(col) if v.as_py() is None else pc.fill_null(pc.equal(col, v), False)).to_numpy()
-            cut = n - int(same.sum())
-            cut += (n - cut) // WINDOW * WINDOW  # whole windows of a long series go as well
+            s = Series(held)
+            cut = int(np.flatnonzero(s.first)[-1])
             if cut:
-                yield from _decode(held.slice(0, cut)).to_batches()
-                held = held.slice(cut)
+                whole = held.slice(0, cut)
+                s = Series(whole)
+                # The first series of the range ends here; its state there is fixed only if it is the only one that was cut.
+                first_end = int(np.append(np.flatnonzero(s.first)[1:], cut)[0])
+                state, _, _ = viterbi(s.logs, s.emission(), s.first, entry)
+                if place == 0 and (part, 0) in fixed:
+                    alone = [v[:first_end] for v in s.logs]
+                    state[:first_end] = viterbi(alone, s.emission()[:first_end], s.first[:first_end], entry, fixed[part, 0][1])[0]
+                yield from given(whole, s, state)
+                held, place = held.slice(cut), 1
+                entry = _only(fixed[part, 1][0]) if (part, 1) in fixed else None
+            elif held.num_rows > LONG:
+                state, cost, back = viterbi(s.logs, s.emission(), s.first, entry)
+                met = _met(back)
+                if met:
+                    yield from given(held.slice(0, met), _head(s, met), state[:met])
+                    through = cost[met - 1][:, None] + _jumps(tuple(v[met : met + 1] for v in s.logs), tuple(v[met - 1 : met] for v in s.logs))[0]
+                    entry, held = through.min(axis=0), held.slice(met)
         if held is not None and held.num_rows:
-            yield from _decode(held).to_batches()
-
-    return series.mapInArrow(decode, schema)
+            s = Series(held)
+            state, _, _ = viterbi(s.logs, s.emission(), s.first, entry, fixed[part, place][1] if (part, place) in fixed else None)
+            yield from given(held, s, state)
+
+    found = read.mapInArrow(decode, schema)
+    if not of_line:
+        return found
+    line = F.when(F.col("note").isNotNull() & F.col("code").isNotNull(), F.to_json(F.struct("note", "code")))
+    found = durable(found.withColumn("_line", line))
+    bases = found.where(F.col("_line").isNotNull()).groupBy("_line").agg(F.min_by("base", F.when(F.col("base").isNotNull(), F.col("rec_id"))).alias("_base"), F.count("*").alias("_n"))
+    lines = join_by_key(found, bases, "_line", "_n", found.count()).withColumn("base", F.coalesce("base", "_base"))
+    return lines.select(*schema.names).unionByName(found.where(F.col("_line").isNull()).select(*schema.names))
+
+
+def _head(s: Series, n: int) -> Series:
+    """The first records of some."""
+    out = Series.__new__(Series)
+    for name in ("quantity", "price", "quantity_factor", "price_factor", "named"):
+        setattr(out, name, getattr(s, name)[:n])
+    return out
 
 
 #: Cells of log values for the search of near pairs: the wider, the fewer records lie near an edge.

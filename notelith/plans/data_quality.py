@@ -25,11 +25,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.equal_pairs(durable(units.common_units(table(spark, sf_dir, "qty_records"))))
+    return units.equal_pairs(durable(units.common_units(table(spark, sf_dir, "qty_records"), of_line=False)))
 
 
 def p2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = units.common_units(table(spark, sf_dir, "qty_records"))
+    found = units.common_units(table(spark, sf_dir, "qty_records"), of_line=False)
     return found.select("rec_id", F.round("quantity", 6).alias("quantity"), F.round("price", 8).alias("price"))
 
 
