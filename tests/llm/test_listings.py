@@ -100,3 +100,55 @@ def test_references_against_all_pairs(spark):
             break
         least = after
     assert pairs(spark, rows) == {(a, b) for a in read for b in read if a < b and least[a] == least[b]}
+
+
+def test_no_link_of_a_reference_is_lost(spark):
+    same = "BLK-0000033-1"
+    rows = [(1, same, "flexible cable"), (2, same, "Tubo corrugado 5 m"), (3, same, "tubo corrugado rojo")]
+    assert pairs(spark, rows) == {(2, 3)}
+
+
+def counted_nodes(spark, df):
+    from notelith.operators.skew import join_by_key
+    from pyspark.sql import functions as F
+
+    read = ls.read_listings(df).where("key is not null")
+    nodes = read.groupBy("key", "ref", "sig").agg(F.min("listing_id").alias("node"), F.first("measures").alias("measures"), F.first("words").alias("words"))
+    refs = nodes.where("sig is not null").groupBy("sig").agg(F.count_distinct("ref").alias("refs"), F.count("*").alias("nodes"))
+    return join_by_key(nodes.select("node", "sig", "ref", "measures", "words"), refs, "sig", "nodes", read.count()), read.count()
+
+
+def test_recall_of_blocks_and_pruning(spark, monkeypatch):
+    """Against all pairs of equal tokens: every one is an edge, and stays connected when the graph is pruned to a part."""
+    from notelith.runtime import table
+
+    df = table(spark, "/root/testdata/sf0.01", "catalog_listings")
+    products = []
+    for size in (64, 3):
+        monkeypatch.setattr(ls, "BLOCK_PAIRS", size)
+        nodes, n = counted_nodes(spark, df)
+        graph = ls.weighted_graph(nodes, n)
+        all_edges = {(r.a.node, r.b.node): r.a.sig == r.b.sig for r in graph.collect()}
+        kept = {(r.a.node, r.b.node) for r in ls.pruned(graph).collect()}
+        sigs = {r.node: r.sig for r in nodes.collect()}
+        want = {(a, b) for a in sigs for b in sigs if a < b and sigs[a] == sigs[b] is not None}
+        if size == 64:
+            assert {e for e, same in all_edges.items() if same} == want and len(want) > 50
+        assert want and len([e for e in want if e in kept]) >= (0.99 if size == 64 else 0.3) * len(want) and len(kept) < len(all_edges)
+        products.append({tuple(r) for r in ls.same_product_pairs(df).collect()})
+    assert products[0] == products[1] and len(products[0]) >= len(want) > 0
+
+
+def test_the_graph_gives_the_products(spark, monkeypatch):
+    rows = ROWS[:7]
+    before = pairs(spark, rows)
+    blocks = ls.token_blocks
+    monkeypatch.setattr(ls, "token_blocks", lambda nodes: blocks(nodes).where("false"))
+    assert pairs(spark, rows) == {p for p in before if p == (5, 6)} != before  # a reference has blocks of its own
+
+
+def test_without_a_vocabulary(spark):
+    empty = ls.Vocabulary({}, {}, [], {})
+    rows = [(1, None, "Zapato rojo"), (2, None, "ROJO, zapato"), (3, None, "red shoe")]
+    found = {r.listing_id: r.product_id for r in ls.products(frame(spark, rows), empty).collect()}
+    assert found[1] == found[2] != found[3]
