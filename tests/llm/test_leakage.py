@@ -27,6 +27,49 @@ def test_myers_against_the_table():
     assert lk.myers("x" * 500, "x" * 200 + "y" + "x" * 299) == 1
 
 
+def test_bits_for_all_hits_against_the_table():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for m, n in ((5, 7), (14, 16), (1, 3)):
+        pattern, text = r.integers(0, 3, (60, m)), r.integers(0, 3, (60, n))
+        got = lk.reach(pattern, text)
+        for p, t, found_ in zip(pattern, text, got, strict=True):
+            d = np.zeros((m + 1, n + 1), int)
+            d[0], d[:, 0] = np.arange(n + 1), np.arange(m + 1)
+            for i in range(1, m + 1):
+                for j in range(1, n + 1):
+                    d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (p[i - 1] != t[j - 1]))
+            assert (d.min(axis=1) == found_).all()
+
+
+def test_words_split_and_joined_at_line_ends():
+    assert found(ITEM.replace("adelantada", "adelan\ntada").replace("original", "orig\ninal")) == [7]
+    assert found(ITEM.replace("maestro cargador", "maestrocargador")) == [7]
+    assert found(" ".join(WORDS[:15]).replace("donde", "don\nde")) == [7]
+
+
+def test_distances_decide(monkeypatch):
+    """Two letters wrong in a word, and four words wrong in a window, are too many; without the distances they'd pass."""
+    some = " ".join(WORDS[:15])
+    two, four = some.replace("adelantada", "adelxnyada"), some
+    for w in ("maestro", "apuntaba", "adelantada", "original"):
+        four = four.replace(w, w[:-1] + "x")
+    assert found(some) == [7] and found(two) == [] and found(four) == []
+    monkeypatch.setattr(lk, "myers", lambda a, b: 0)
+    assert found(two) == [7]
+    monkeypatch.undo()
+    lost = " ".join(w for i, w in enumerate(WORDS) if i % 5)
+    assert found(lost) == []
+
+
+def test_a_piece_of_many_items(monkeypatch):
+    monkeypatch.setattr(lk, "HITS", 7)
+    items = [(i, f"el mismo comienzo de todos estos textos que sigue igual hasta aqui y acaba con numero {i} distinto") for i in range(30)]
+    assert found(items[4][1] + " . " + items[11][1], items) == sorted(i for i, _ in items)  # 15 equal words
+    assert found("el mismo comienzo de todos estos textos que sigue igual hasta aqui", items) == []
+
+
 def test_passages():
     assert found(f"Buenos días. {ITEM}. Saludos") == [7]
     assert found("antes " + " ".join(WORDS[5:20]) + " después") == [7]
