@@ -1,14 +1,15 @@
 """Records that are equal but for whitespace, letter case, punctuation and the order of their fields.
 
-A record's fields become one canonical key. Each task builds, over 64-bit hashes of its keys, a Bloom filter of the
-hashes it saw and one of those it saw again; two tasks' filters merge to (A.seen | B.seen, A.again | B.again |
-A.seen & B.seen), which never misses a hash that both saw. With the merged filter of repeats at hand every record is
-tested where it lies: only possible repeats are shuffled and grouped by their exact keys, all others are singletons.
+A record's fields become one canonical key. Its 64-bit hash alone, once for many rows of a task, goes to a range of
+hashes, whose Bloom filter of the hashes seen tells which are seen again. Those make a second filter: each task builds its
+own, and they are merged piece by piece. With it every record is tested where it lies: only possible repeats are shuffled
+and grouped by their exact keys, all others are singletons. A filter never misses what it holds, so the result is exact.
 
-Scale: the filter has ``BITS_PER_ROW`` bits for each row up to ``MAX_FILTER_BITS`` (32 MB), which bounds what a task
-holds and what is broadcast. Where rows are so many that it would let most of them through (``LEAST_BITS_PER_ROW``), no
-filter is built and every record is grouped exactly. Groups are counted with map-side combining, and no task gets a
-whole hot group (``join_by_key``).
+Scale: the same plan at every size. The number of ranges grows with the rows, so that a range's filter stays within
+``RANGE_BITS`` (8 MB); the filter of repeats has ``BITS_PER_HASH`` bits for each repeated hash up to ``MAX_FILTER_BITS``
+(32 MB), which bounds what a task holds and what is broadcast. Beyond some 60 million different repeated records it lets
+through more and more of the singletons, which are then shuffled with the repeats. Groups are counted with map-side
+combining, and no task gets a whole hot group (``join_by_key``).
 
 Defined cases
 -------------
@@ -27,16 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelith.operators.skew import join_by_key
 from notelith.runtime import durable, ship
 
-BITS_PER_ROW = 16
-LEAST_BITS_PER_ROW = 4
+BITS_PER_HASH = 16
+RANGE_BITS = 1 << 26
 MAX_FILTER_BITS = 1 << 28
+#: Hashes of a task that are united before they are sent.
+UNITED_ROWS = 1_000_000
 #: Words of 64 bits in one piece of the filter.
 SEGMENT = 1 << 13
 _DECIMAL = "\u0001"
@@ -70,12 +72,9 @@ def canonical_key(fields: list[Column]) -> Column:
     return F.when(there, F.concat_ws(_BETWEEN, key))
 
 
-def _filter_bits(n_rows: int) -> int:
-    """Bits as a power of two, or 0 where a filter of the bounded size wouldn't help."""
-    if n_rows * LEAST_BITS_PER_ROW > MAX_FILTER_BITS:
-        return 0
-    wanted = 1 << max(16, math.ceil(math.log2(max(1, n_rows * BITS_PER_ROW))))
-    return min(wanted, MAX_FILTER_BITS)
+def _filter_bits(n_hashes: int) -> int:
+    """Bits as a power of two."""
+    return min(1 << max(16, math.ceil(math.log2(max(1, n_hashes * BITS_PER_HASH)))), MAX_FILTER_BITS)
 
 
 def _word(h: Column, bits: int) -> Column:
@@ -91,54 +90,80 @@ def _mask(h: Column) -> Column:
     return mask
 
 
-def repeat_filter(hashes: DataFrame, bits: int) -> DataFrame:
-    """(segment, words) of the merged filter of repeated hashes; ``hashes`` has one column of longs."""
+def _masks(h: np.ndarray) -> np.ndarray:
+    mask = np.zeros(h.size, np.uint64)
+    for k in range(4):
+        mask |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
+    return mask
+
+
+def possible_repeats(hashes: DataFrame, n_rows: int) -> DataFrame:
+    """(h) of every hash that occurs more than once, and few others; ``hashes`` has one column of longs."""
+    ranges = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows * BITS_PER_HASH // RANGE_BITS))
+    words = 1 << max(10, math.ceil(math.log2(max(1, n_rows * BITS_PER_HASH // ranges))) - 6)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each hash once for many rows of a task, so a hot record sends next to nothing."""
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n > 1)], names=["h", "again"])
+
+        for batch in batches:
+            held.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) >= UNITED_ROWS:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    def sight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A range's filter of seen hashes tells which are seen again."""
+        seen, shift = np.zeros(words, np.uint64), np.uint64(64 - (words.bit_length() - 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            order = np.argsort(h, kind="stable")
+            repeated = np.zeros(h.size, dtype=bool)
+            repeated[order[1:]] = h[order[1:]] == h[order[:-1]]
+            at, mask = (h >> shift).astype(np.int64), _masks(h)
+            again = repeated | ((seen[at] & mask) == mask) | batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            np.bitwise_or.at(seen, at, mask)
+            if again.any():
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(again))], names=["h"])
+
+    return hashes.mapInArrow(unite, "h long, again boolean").repartition(ranges, "h").mapInArrow(sight, "h long")
+
+
+def merged_filter(hashes: DataFrame, bits: int) -> DataFrame:
+    """(segment, words) of the Bloom filter of all hashes: each task's own, merged piece by piece."""
     words = bits >> 6
     shift = np.uint64(64 - (words.bit_length() - 1))
     segment = min(SEGMENT, words)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, again = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
-        some, task = False, TaskContext.get().partitionId()  # the same if the task runs again
+        seen, some = np.zeros(words, np.uint64), False
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            some = True
-            h, n = np.unique(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True)
-            at, mask = (h >> shift).astype(np.int64), np.zeros(h.size, np.uint64)
-            for k in range(4):
-                mask |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
-            twice = (n > 1) | ((seen[at] & mask) == mask)
-            np.bitwise_or.at(again, at[twice], mask[twice])
-            np.bitwise_or.at(seen, at, mask)
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            np.bitwise_or.at(seen, (h >> shift).astype(np.int64), _masks(h))
+            some |= h.size > 0
         if some:
-            used = np.flatnonzero(seen.reshape(-1, segment).any(axis=1))
-            for i in used:
-                part = slice(int(i) * segment, (int(i) + 1) * segment)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(i)], pa.int32()), pa.array([task % 16], pa.int32()), pa.array([seen[part].tobytes()]), pa.array([again[part].tobytes()])],
-                    names=["segment", "part", "seen", "again"],
-                )
-
-    def merge(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        seen, again = np.zeros(segment, np.uint64), np.zeros(segment, np.uint64)
-        for s, a in zip(t["seen"], t["again"], strict=True):
-            s, a = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(a.as_buffer(), np.uint64)
-            again |= a | (seen & s)
-            seen |= s
-        return seen, again
-
-    def merge_some(t: pa.Table) -> pa.Table:
-        seen, again = merge(t)
-        return pa.table({"segment": t["segment"].slice(0, 1), "seen": [seen.tobytes()], "again": [again.tobytes()]})
-
-    def merge_all(t: pa.Table) -> pa.Table:
-        words_ = pa.array([merge(t)[1].view(np.int64)], pa.list_(pa.int64()))
-        return pa.table({"segment": t["segment"].slice(0, 1), "words": words_})
-
-    built = hashes.mapInArrow(build, "segment int, part int, seen binary, again binary")
-    some = built.groupBy("segment", "part").applyInArrow(merge_some, "segment int, seen binary, again binary")
-    return some.groupBy("segment").applyInArrow(merge_all, "segment int, words array<bigint>")
+            for i in np.flatnonzero(seen.reshape(-1, segment).any(axis=1)):
+                part = seen[int(i) * segment : (int(i) + 1) * segment]
+                yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([part.tobytes()])], names=["segment", "words"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # all pieces together are a filter
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(x.as_buffer(), np.uint64)
+                held[i] = held[i] | part if i in held else part
+        for i, part in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.view(np.int64)], pa.list_(pa.int64()))], names=["segment", "words"])
+
+    return hashes.mapInArrow(build, "segment int, words binary").repartition("segment").mapInArrow(merge, "segment int, words array<bigint>")
 
 
 def keyed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -149,13 +174,12 @@ def keyed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 def split_repeats(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(possible repeats, certain singletons) of (id, key, h); records without a key are singletons."""
     ship(records.sparkSession)
-    bits = _filter_bits(records.count())
     have = records.where(F.col("key").isNotNull())
     lack = records.where(F.col("key").isNull())
-    if not bits:
-        return have, lack
+    again = durable(possible_repeats(have.select("h"), records.count()))
+    bits = _filter_bits(again.count())
     segment = min(SEGMENT, bits >> 6)
-    filter_ = repeat_filter(have.select("h"), bits)
+    filter_ = merged_filter(again, bits)
     word, mask = _word(F.col("h"), bits), _mask(F.col("h"))
     # Bounded: all words of the filter take MAX_FILTER_BITS at most.
     probed = have.withColumn("segment", F.floor(word / F.lit(segment)).cast("int")).join(F.broadcast(filter_), "segment", "left")

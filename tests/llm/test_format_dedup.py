@@ -86,17 +86,34 @@ def test_filter_misses_no_repeat(spark):
     assert repeats.count() < 3_000
 
 
-def test_hot_group_beyond_the_filter(spark, monkeypatch):
-    """Without a filter, and with a group above the limit for broadcast, the pairs are the same."""
+def test_saturated_filters_and_a_hot_group(spark, monkeypatch):
+    """With filters so small that they let everything through, many ranges, and a group above the limit for broadcast, the pairs are the same."""
     from notelith.operators import skew
 
-    rows = [("1", "2", "hot hot")] * 300 + [(str(i), "c", "cold words") for i in range(50)] * 2
+    rows = [("1", "2", "hot hot")] * 300 + [(str(i), "c", "cold words") for i in range(50)] * 2 + [(str(i), "d", "alone") for i in range(400)]
     want = {tuple(r) for r in fd.copies_found(frame(spark, rows), "line_id", FIELDS).collect()}
-    monkeypatch.setattr(fd, "MAX_FILTER_BITS", 1)
+    monkeypatch.setattr(fd, "MAX_FILTER_BITS", 1 << 7)
+    monkeypatch.setattr(fd, "RANGE_BITS", 1 << 10)
+    monkeypatch.setattr(fd, "UNITED_ROWS", 10)
     monkeypatch.setattr(skew.join_by_key, "__defaults__", (100,))
     assert {tuple(r) for r in fd.copies_found(frame(spark, rows), "line_id", FIELDS).collect()} == want == brute(rows)
+    collapsed = {r.keep_id: r.copies for r in fd.collapse(frame(spark, rows), "line_id", FIELDS).collect()}
+    assert sum(collapsed.values()) == len(rows) and len(collapsed) == 451
 
 
-@pytest.mark.parametrize("n, bits", [(0, 1 << 16), (10_000, 1 << 18), (1 << 30, 0)])
+def test_one_plan_at_every_size(spark, monkeypatch):
+    """A million rows and what stands for billions (bounds a thousand times smaller) are planned alike."""
+    import re
+
+    hashes = spark.range(1000).select(F.xxhash64("id").alias("h"))
+    plan = lambda df: re.sub(r"[#\d]+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    few = plan(fd.possible_repeats(hashes, 1_000_000))
+    assert few == plan(fd.possible_repeats(hashes, 4_000_000_000))
+    monkeypatch.setattr(fd, "RANGE_BITS", 1 << 16)
+    ranges = fd.possible_repeats(hashes, 4_000_000).rdd.getNumPartitions()
+    assert ranges == -(-4_000_000 * fd.BITS_PER_HASH // (1 << 16))
+
+
+@pytest.mark.parametrize("n, bits", [(0, 1 << 16), (10_000, 1 << 18), (1 << 30, 1 << 28)])
 def test_filter_size(n, bits):
     assert fd._filter_bits(n) == bits
