@@ -18,6 +18,8 @@ Defined cases
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -93,18 +95,33 @@ def _key_text(keys: list[str]) -> Column:
     return F.concat(*parts)
 
 
-def _current(df: DataFrame, keys: list[str], fields: list[str], version: str) -> DataFrame:
+def _cleaned(df: DataFrame, fields: list[str]) -> list[Column]:
+    """The fields as f0, f1, ...: NaN and '' are null."""
     kinds = dict(df.dtypes)
     cols = []
-    for f in fields:
+    for i, f in enumerate(fields):
         c = F.col(f"`{f}`")
         if kinds[f] in ("double", "float"):
             c = F.when(F.isnan(c), None).otherwise(c.cast("double"))
         elif kinds[f] == "string":
             c = F.nullif(c, F.lit(""))
-        cols.append(c.alias(f))
-    state = F.max(F.struct(F.col(f"`{version}`").alias("_v"), *cols)).alias("_s")
-    return df.groupBy(*(F.col(f"`{k}`").alias(k) for k in keys)).agg(state)
+        cols.append(c.alias(f"f{i}"))
+    return cols
+
+
+def _latest_of_batch(order: list[str]):
+    """Keeps the last row of each key of a batch: a key that lies there often sends little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows > 1:
+                at = pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in ("_key", *order)], null_placement="at_start")
+                key = batch["_key"].take(at)
+                last = np.append(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False), True)
+                batch = batch.take(at.filter(pa.array(last)))
+            yield batch
+
+    return run
 
 
 def diff_copies(
@@ -124,14 +141,21 @@ def diff_copies(
     schema = T.StructType([*(left.schema[k] for k in keys), T.StructField("finding", T.StringType())])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
+    key_names, field_names = [f"k{i}" for i in range(len(keys))], [f"f{i}" for i in range(len(fields))]
+
     def side(df: DataFrame) -> DataFrame:
+        """The current state of each key, shuffled once: to its block, where both the aggregate and the comparison find it."""
         key = _key_text(keys)
-        return _current(df, keys, fields, version).select(
+        slim = df.select(
             F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("_block"),
             key.alias("_key"),
-            *(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)),
-            *(F.col(f"_s.`{f}`").alias(f"f{i}") for i, f in enumerate(fields)),
+            *(F.col(f"`{k}`").alias(n) for k, n in zip(keys, key_names, strict=True)),
+            F.col(f"`{version}`").alias("_v"),
+            *_cleaned(df, fields),
         )
+        united = slim.mapInArrow(_latest_of_batch(["_v", *field_names]), slim.schema).repartition("_block")
+        state = united.groupBy("_block", "_key", *key_names).agg(F.max(F.struct("_v", *field_names)).alias("_s"))
+        return state.select("_block", "_key", *key_names, *(f"_s.{f}" for f in field_names))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         n_a = a.num_rows
