@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,17 +178,17 @@ def _fill_ranges(df: DataFrame, part: list[str], order: list[str], fields: list[
                 key, held, first = k, held_, first if first is not None else k
             p = batch.column(n)[0].as_py() if batch.num_rows else p
         if p is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([repr(key)]), pa.array([key == first]), pa.array([held], pa.list_(pa.string()))], names=["p", "key", "alone", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([repr(key)]), pa.array([key == first]), pa.array([pickle.dumps(held)])], names=["p", "key", "alone", "held"])
 
-    texts = [F.col(c).cast("string").alias(c) for c in (*part, *fields)]
-    ends = ranged.select(*texts, "_p").mapInArrow(tails, "p int, key string, alone boolean, held array<string>").collect()  # one row a partition
+    ends = ranged.select(*part, *fields, "_p").mapInArrow(tails, "p int, key string, alone boolean, held binary").collect()  # one row a partition
     open_: dict[int, tuple[str, list]] = {}
     key, held = None, [None] * len(fields)
     for e in sorted(ends, key=lambda e: e.p):
         if key is not None:
             open_[e.p] = (key, held)
         same = e.alone and e.key == key
-        held = [b if b is not None else a for a, b in zip(held, e.held, strict=True)] if same else list(e.held)
+        own = pickle.loads(bytes(e.held))
+        held = [b if b is not None else a for a, b in zip(held, own, strict=True)] if same else own
         key = e.key
     names = [f.name for f in ranged.schema.fields]
     at = [names.index(c) for c in part], [names.index(f) for f in fields]
@@ -198,7 +198,7 @@ def _fill_ranges(df: DataFrame, part: list[str], order: list[str], fields: list[
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [pc.cast(batch.column(i), pa.string()).to_pylist() for i in (*at[0], *at[1])]
+            cols = [batch.column(i).to_pylist() for i in (*at[0], *at[1])]
             if not started:
                 before = open_.get(batch.column(names.index("_p"))[0].as_py())
                 first = tuple(c[0] for c in cols[:keys])
@@ -209,7 +209,7 @@ def _fill_ranges(df: DataFrame, part: list[str], order: list[str], fields: list[
             key, held = found[-1]
             arrays = list(batch.columns)
             for j, i in enumerate(at[1]):
-                arrays[i] = pa.array([h[j] for _, h in found], pa.string())
+                arrays[i] = pa.array([h[j] for _, h in found], batch.column(i).type)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return ranged.mapInArrow(fill, ranged.schema).drop("_p")

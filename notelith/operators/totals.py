@@ -5,6 +5,8 @@ Sums of money are decimals: no order of addition changes them. All groupings are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,9 +82,12 @@ def reconcile_last_line(lines: DataFrame, meta: DataFrame, key: list[str], order
 
 
 def sole_line_amount(lines: DataFrame, meta: DataFrame, key: list[str]) -> DataFrame:
-    """Where a note has one line without an amount, the footer's."""
-    counted = lines.groupBy(*key).agg(F.count("*").alias("_n"))
-    footers = meta.groupBy(*key).agg(F.max("NetoComercialPie").alias("_f"))
-    joined = lines.join(counted, key).join(footers, key, "left")
-    amount = F.when((F.col("_n") == 1) & F.col("Importe").isNull(), F.col("_f")).otherwise(F.col("Importe"))
-    return joined.withColumn("amount", amount).drop("_n", "_f")
+    """Where a note has one line without an amount, the footer's. Lines of no note (a null key) keep their own; every line comes out."""
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))
+    noted = lines.where(whole)
+    # The footer is wanted for notes of one line only: a hot note meets nothing.
+    sole = noted.groupBy(*key).agg(F.count("*").alias("_n"), F.count("Importe").alias("_known")).where((F.col("_n") == 1) & (F.col("_known") == 0))
+    footers = meta.where(whole).groupBy(*key).agg(F.max("NetoComercialPie").alias("_f"))
+    joined = noted.join(sole.join(footers, key).select(*key, "_f"), key, "left")
+    filled = joined.withColumn("amount", F.coalesce("Importe", "_f")).drop("_f")
+    return filled.unionByName(lines.where(~whole).withColumn("amount", F.col("Importe")))

@@ -95,9 +95,12 @@ def dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "detail_lines").where("AlbaranNumero is not null and Importe is not null")
-    keyed = lines.select("AlbaranNumero", F.col("Codigo"), ev.amount_key("Importe").alias("amount"), "line_id", "Descripcion")
-    return ev.keep_longest(keyed, ["AlbaranNumero", "Codigo", "amount"], "Descripcion", ["line_id"]).select("AlbaranNumero", "Codigo", "amount", "line_id")
+    """Of the lines with one note, code and amount the one with the longest text; lines without a note or an amount are left alone."""
+    lines = table(spark, sf_dir, "detail_lines")
+    keyed = lines.select("AlbaranNumero", "Codigo", ev.amount_key("Importe").alias("amount"), "line_id", "Descripcion", (F.col("AlbaranNumero").isNotNull() & F.col("Importe").isNotNull()).alias("known"))
+    names = ["AlbaranNumero", "Codigo", "amount", "line_id"]
+    kept = ev.keep_longest(keyed.where("known"), names[:3], "Descripcion", ["line_id"])
+    return kept.select(*names).unionByName(keyed.where("not known").select(*names))
 
 
 def amount_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +220,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY updated_at DESC, Li
 SELECT Proveedor, Pdf, Pagina, Linea, updated_at, Codigo, round(Importe, 2) AS Importe FROM k WHERE r = 1
 UNION ALL SELECT Proveedor, Pdf, Pagina, Linea, updated_at, Codigo, NULL FROM s WHERE Importe IS NULL""",
     "dedup_longest": f"""SELECT AlbaranNumero, Codigo, {_AMOUNT} AS amount, line_id FROM detail_lines WHERE AlbaranNumero IS NOT NULL AND Importe IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY AlbaranNumero, Codigo, {_AMOUNT} ORDER BY length(coalesce(Descripcion, '')) DESC, line_id) = 1""",
+QUALIFY row_number() OVER (PARTITION BY AlbaranNumero, Codigo, {_AMOUNT} ORDER BY length(coalesce(Descripcion, '')) DESC, line_id) = 1
+UNION ALL SELECT AlbaranNumero, Codigo, {_AMOUNT}, line_id FROM detail_lines WHERE AlbaranNumero IS NULL OR Importe IS NULL""",
     "amount_keys": f"WITH r AS {_R} SELECT {_KEYS}, updated_at, {_AMOUNT} AS amount, coalesce(printf('%.3f', CAST(round(CAST(CantidadServida AS DECIMAL(24, 8)), 3) AS DOUBLE)), '') AS quantity FROM r",
     "audit_line_score": _AUDIT + " SELECT row_id, status, score FROM audit",
     "audit_status_counts": _AUDIT + " SELECT status, count(*) AS rows FROM audit GROUP BY status",

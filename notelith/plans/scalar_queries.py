@@ -125,11 +125,12 @@ def unit_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_glued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price and discount glued to one run of digits, taken apart by the amount."""
-    lines = _lines(spark, sf_dir).where("PrecioUnitario between 0.1 and 9999 and DescuentoPct > 0 and DescuentoPct < 100 and CantidadServida > 0")
+    """Price and discount glued to one run of digits, taken apart by the amount; null for lines without a price and a discount to glue."""
+    lines = _lines(spark, sf_dir)
+    whole = F.expr("PrecioUnitario between 0.1 and 9999 and DescuentoPct > 0 and DescuentoPct < 100 and CantidadServida > 0")
     price, discount = F.round("PrecioUnitario", 2), F.round("DescuentoPct", 2)
     cents = lambda c: F.round(c * 100).cast("long").cast("string")
-    glued = lines.select("line_id", F.col("CantidadServida").alias("q"), F.concat(cents(price), cents(discount)).alias("digits"), F.round(F.col("CantidadServida") * price * (1 - discount / 100), 2).alias("amount"))
+    glued = lines.select("line_id", F.col("CantidadServida").alias("q"), F.when(whole, F.concat(cents(price), cents(discount))).alias("digits"), F.round(F.col("CantidadServida") * price * (1 - discount / 100), 2).alias("amount"))
     best = numeric.split_price_discount("digits", "q", "amount")
     return glued.select("line_id", "digits", best.alias("b")).select("line_id", "digits", "b.price", "b.discount")
 
@@ -412,8 +413,8 @@ SELECT doc_id, CAST(len(u) AS INT) AS lines, coalesce(length(array_to_string(u,
 g AS (SELECT line_id, q, CAST(CAST(round(p * 100) AS BIGINT) AS VARCHAR) || CAST(CAST(round(d * 100) AS BIGINT) AS VARCHAR) digits, {sql_round("q * p * (1 - d / 100)", 2)} amount FROM r),
 c AS (SELECT line_id, digits, q, amount, unnest(range(1, length(digits))) i FROM g),
 p AS (SELECT *, CAST(substr(digits, 1, i) AS DOUBLE) / 100 price, CAST(substr(digits, i + 1) AS DOUBLE) / 100 discount FROM c)
-SELECT line_id, digits, price, discount FROM p WHERE discount <= 100
-QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY {sql_round("abs(price * q * (1 - discount / 100) - amount)", 4)}, price, discount) = 1""",
+SELECT l.line_id, digits, price, discount FROM detail_lines l LEFT JOIN (SELECT line_id, digits, price, discount FROM p WHERE discount <= 100
+QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY {sql_round("abs(price * q * (1 - discount / 100) - amount)", 4)}, price, discount) = 1) b ON b.line_id = l.line_id""",
     "parse_date_es": f"""SELECT line_id, {sql_date("FechaAlbaran")} AS date, {sql_date("FechaAlbaran", "-/.")} AS dotted,
   CAST(CAST(try_strptime({sql_date("FechaAlbaran", "-/.")}, '%d/%m/%Y') AS DATE) AS VARCHAR) AS day FROM detail_lines""",
     "date_from_code": """SELECT line_id, CASE WHEN regexp_matches(FechaAlbaran, '^[0-9]{2}/[0-9]{2}/20[0-9]{2}$') THEN FechaAlbaran ELSE '' END AS date FROM detail_lines""",

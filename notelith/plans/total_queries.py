@@ -30,12 +30,14 @@ def totals_by_note_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_against_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line sums of each note against the footer of its pages."""
+    """Line sums of each note against the footer of its pages; notes without lines or without a footer too, and those of no number."""
     key = ["Proveedor", "AlbaranNumero"]
-    sums = totals.line_totals(_lines(spark, sf_dir), key)
-    notes = _meta(spark, sf_dir).groupBy(*key).agg(F.max("NetoComercialPie").alias("net"))
+    sums = totals.line_totals(_lines(spark, sf_dir), key).withColumn("net", F.lit(None).cast("double"))
+    notes = _meta(spark, sf_dir).groupBy(*key).agg(F.max("NetoComercialPie").alias("net")).withColumns({"line_sum": F.lit(None).cast("double"), "lines": F.lit(0).cast("long")})
+    # Grouped, not joined: null keys meet too, and both sides are combined before the shuffle.
+    both = sums.unionByName(notes).groupBy(*key).agg(F.max("line_sum").alias("line_sum"), F.sum("lines").alias("lines"), F.max("net").alias("net"))
     gap = F.round(totals.money("line_sum") - totals.money("net"), 2).cast("double")
-    return sums.join(notes, key).select(*key, F.round("line_sum", 4).alias("line_sum"), "lines", "net", gap.alias("gap"))
+    return both.select(*key, F.round("line_sum", 4).alias("line_sum"), "lines", "net", gap.alias("gap"))
 
 
 def supplier_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +274,9 @@ SQL = {
     "totals_by_note_parser": _totals("Proveedor, Parser, AlbaranNumero, FechaAlbaran, SuPedidoCodigo"),
     "lines_against_footer": """WITH l AS (SELECT Proveedor, AlbaranNumero, sum(CAST(Importe AS DECIMAL(18, 4))) s, count(*) n FROM detail_lines GROUP BY ALL),
 m AS (SELECT Proveedor, AlbaranNumero, max(NetoComercialPie) net FROM note_meta GROUP BY ALL)
-SELECT l.Proveedor, l.AlbaranNumero, round(CAST(s AS DOUBLE), 4) AS line_sum, n AS lines, net, CAST(round(s - CAST(net AS DECIMAL(18, 4)), 2) AS DOUBLE) AS gap
-FROM l JOIN m ON m.Proveedor = l.Proveedor AND m.AlbaranNumero = l.AlbaranNumero""",
+SELECT coalesce(l.Proveedor, m.Proveedor) AS Proveedor, coalesce(l.AlbaranNumero, m.AlbaranNumero) AS AlbaranNumero, round(CAST(s AS DOUBLE), 4) AS line_sum, coalesce(n, 0) AS lines, net,
+  CAST(round(s - CAST(net AS DECIMAL(18, 4)), 2) AS DOUBLE) AS gap
+FROM l FULL JOIN m ON m.Proveedor IS NOT DISTINCT FROM l.Proveedor AND m.AlbaranNumero IS NOT DISTINCT FROM l.AlbaranNumero""",
     "supplier_kpis": _kpis("Proveedor", "detail_lines"),
     "run_kpis": _kpis("run", "(SELECT *, 'all' AS run FROM detail_lines)"),
     "page_counts": """WITH p AS (SELECT DISTINCT Pdf, Pagina FROM note_meta), i AS (SELECT Pdf, Pagina, count(*) n FROM detail_lines GROUP BY ALL)
@@ -299,7 +302,7 @@ SELECT line_id, CASE WHEN g.gap <> 0 AND abs(g.gap) <= greatest(20, abs(f) * 0.2
 FROM detail_lines l LEFT JOIN g ON g.Proveedor = l.Proveedor AND g.AlbaranNumero = l.AlbaranNumero""",
     "sole_line_amount": """WITH m AS (SELECT Proveedor, AlbaranNumero, max(NetoComercialPie) f FROM note_meta GROUP BY ALL),
 n AS (SELECT Proveedor, AlbaranNumero, count(*) n FROM detail_lines GROUP BY ALL)
-SELECT line_id, CASE WHEN n = 1 AND Importe IS NULL THEN f ELSE Importe END AS amount FROM detail_lines l JOIN n ON n.Proveedor = l.Proveedor AND n.AlbaranNumero = l.AlbaranNumero
+SELECT line_id, CASE WHEN n = 1 AND Importe IS NULL THEN f ELSE Importe END AS amount FROM detail_lines l LEFT JOIN n ON n.Proveedor = l.Proveedor AND n.AlbaranNumero = l.AlbaranNumero
 LEFT JOIN m ON m.Proveedor = l.Proveedor AND m.AlbaranNumero = l.AlbaranNumero""",
     "stamp_sources": "WITH m AS (SELECT Pdf, Pagina, "
     + ", ".join(f"min({f}) FILTER (upper(trim({f})) NOT IN ('', 'NAN', 'NONE', 'NULL', 'NAT')) m_{f}" for f in ("AlbaranNumero", "FechaAlbaran", "SuPedidoCodigo"))

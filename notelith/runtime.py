@@ -53,8 +53,10 @@ _TEMPORARY: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests on one machine."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset and all runs on one machine, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named and not _TEMPORARY:
         _TEMPORARY.append(tempfile.mkdtemp(prefix="notelith-"))
     return (named or _TEMPORARY[0]).rstrip("/")

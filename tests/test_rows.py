@@ -161,3 +161,14 @@ def test_head_words_on_several_lines_choose_no_layout(spark):
     assert {r.doc: r.supplier for r in chosen.collect()} == {1: "ESMERALDA", 2: "ALKAIN", 3: "ESMERALDA", 4: "ALKAIN"}
     found = {r.doc: (r.code, r.quantity, r.amount) for r in extraction.extract_rows(chosen, extraction.layout_table(spark, LAYOUTS), ["doc"]).collect()}
     assert found == {1: ("ART 37 78930", 2, 21), 2: ("AB123", 4, 5)}
+
+
+def test_fill_keeps_types_in_hot_parts(spark):
+    """A double, a number, a day and a time are filled alike below and above the bound of a hot part."""
+    import datetime
+
+    day, time = datetime.date(2024, 5, 6), datetime.datetime(2024, 5, 6, 7, 8, 9, 123)
+    data = [("a" if i % 3 else "b", i, None if i % 4 else i / 3, None if i % 5 else i, None if i % 7 else day + datetime.timedelta(i), None if i % 6 else time) for i in range(200)]
+    df = spark.createDataFrame(data, "p string, i long, x double, n int, d date, t timestamp_ntz").repartition(5)
+    few, hot = ({r.i: tuple(r) for r in rows.fill_forward(df, ["p"], ["i"], ["x", "n", "d", "t"], hot_rows=n).collect()} for n in (1000, 10))
+    assert few == hot and few[199][2] is not None
