@@ -8,7 +8,8 @@ Defined cases
 -------------
 * Null gives null, the empty text the empty text.
 * Space characters of any width or breaking kind become one ordinary space each; tabs and line ends stay.
-* Characters that show nothing (zero-width, joiners, soft hyphen, byte order mark) go.
+* Characters that show nothing (zero-width, joiners, soft hyphen, byte order mark, fillers, selectors of variants) go.
+* Letters in a mathematical style, full-width and half-width forms are the plain letter.
 * Ties: if several reference rows look like a record, each one is reported. Repeated rows are reported as often.
 * Empty tables give no rows; other columns are ignored, whatever their names; texts are read whole.
 """
@@ -36,31 +37,42 @@ GREEK = {
     "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϳ": "j",
 }
 ARMENIAN = {"Օ": "O", "օ": "o", "ս": "u", "հ": "h"}
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ", strict=True))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc", strict=True))
+#: Latin letters of phonetic alphabets.
+PHONETIC = dict(zip("ɑᴄᴏᴠᴡᴢꜱ", "acovwzs", strict=True))
 #: Signs drawn alike: micro sign, hyphens of either breaking kind, letter-like signs.
 SIGNS = {"µ": "μ", "‐": "-", "‑": "-", "ℓ": "l", "ɡ": "g"}
 
 
+#: Ways in which a character is another one in a style, a width or without a break: it is drawn as that.
+DRAWN_ALIKE = ("<font>", "<wide>", "<narrow>", "<noBreak>")
+#: Characters without a mark of their own that aren't format characters: joiners, fillers, selectors of variants.
+SHOW_NOTHING = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
+
+
 class _Prototypes(dict):
     """Character -> prototype, for ``str.translate``; what no table holds follows from rules and is then kept."""
 
     def __missing__(self, code: int) -> str | int | None:
         ch = chr(code)
         kind = unicodedata.category(ch)
-        if 0xFF01 <= code <= 0xFF5E:  # full-width forms of ASCII
-            to: str | int | None = chr(code - 0xFEE0)
-        elif kind == "Zs":
+        if kind == "Cf" or any(a <= code <= b for a, b in SHOW_NOTHING):
+            to: str | int | None = None
+        elif kind == "Zs" or code == 0x2800:  # spaces, and the braille cell without a dot
             to = " "
-        elif kind == "Cf" or 0xFE00 <= code <= 0xFE0F or code == 0x034F:  # shows nothing
-            to = None
-        elif 0xFB00 <= code <= 0xFB06 or 0x2160 <= code <= 0x217F or 0xFFE0 <= code <= 0xFFE6:
-            to = unicodedata.normalize("NFKD", ch)  # ligatures, Roman numerals, full-width signs
+        elif unicodedata.decomposition(ch).startswith(DRAWN_ALIKE) or 0xFB00 <= code <= 0xFB06 or 0x2160 <= code <= 0x217F:
+            # Styles and widths, ligatures and Roman numerals; what that gives may have a prototype of its own.
+            plain = unicodedata.normalize("NFKD", ch)
+            to = plain if plain == ch else plain.translate(self)
         else:
             to = code
         self[code] = to
         return to
 
 
-PROTOTYPES = _Prototypes({ord(k): v for t in (CYRILLIC, GREEK, ARMENIAN, SIGNS) for k, v in t.items()})
+PROTOTYPES = _Prototypes({ord(k): v for t in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, COPTIC, PHONETIC, SIGNS) for k, v in t.items()})
 
 
 def skeleton_of(text: str | None) -> str | None:

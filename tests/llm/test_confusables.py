@@ -7,6 +7,8 @@ def test_looks_the_same():
     for a, b in [
         ("Cinta", "Ｃｉｎｔａ"), ("óptica", "óptica"), ("a b", "a b"), ("a b", "a　b"), ("ab", "a​b"), ("ab", "a­b"),
         ("AB-1", "АВ‑1"), ("señal", "señal"), ("µF", "μF"), ("Ω", "Ω"), ("flex", "ﬂex".replace("ﬂ", "fl")), ("caro", "саrо"),
+        ("Cable", "𝐂𝒶𝔟𝕝𝖾"), ("B12", "𝐁𝟏𝟐"), ("カタ", "ｶﾀ"), ("TUBO", "ᎢUᏴO"), ("LED", "ꓡꓰꓓ"), ("MOTOR", "ⲘⲞⲦⲞR"), ("caro", "cɑrᴏ"),
+        ("ab", "aㅤb"), ("ab", "a\ufe0fb"), ("a b", "a⠀b"), ("ab", "a\U000e0101b"), ("ó", "𝐨́"), ("А", "𝐀"),
     ]:
         assert cf.skeleton_of(a) == cf.skeleton_of(b), (a, b)
 
