@@ -77,11 +77,27 @@ def window_hits(lines: DataFrame, key: list[str], rules: list[tuple[str, str, in
     return each.groupBy(*key, "s.supplier").agg(F.sum("s.points").alias("points"))
 
 
-def scores(hits: DataFrame, structural: DataFrame, key: list[str], penalties: dict[str, int] | None = None) -> DataFrame:
-    """(key..., supplier, hits, score)."""
-    both = hits.select(*key, "supplier", "hits", F.lit(0).cast("long").alias("points")).unionByName(
-        structural.select(*key, "supplier", F.lit(0).cast("long").alias("hits"), F.col("points").cast("long").alias("points"))
-    )
+def text_hits(pages: DataFrame, key: list[str], text: str, rules: list[tuple[str, str, int]]) -> DataFrame:
+    """(key..., supplier, points): hints (supplier, pattern, points) that stand anywhere on a page, such as words of its footer."""
+    folded = pages.select(*key, tx.fold_upper(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    hits = F.array(*(F.when(F.col("_t").rlike(p), F.struct(F.lit(s).alias("supplier"), F.lit(n).alias("points"))) for s, p, n in rules))
+    each = folded.select(*key, F.explode(F.array_compact(hits)).alias("s"))
+    return each.groupBy(*key, "s.supplier").agg(F.sum("s.points").alias("points"))
+
+
+def gated(hits: DataFrame, pages: DataFrame, key: list[str], text: str, gates: dict[str, str]) -> DataFrame:
+    """The hits without those of suppliers whose gate, a pattern, a page doesn't meet."""
+    folded = tx.fold_upper(F.coalesce(F.col(text), F.lit("")))
+    shut = F.array_compact(F.array(*(F.when(~folded.rlike(p), F.lit(s)) for s, p in gates.items())))
+    out = pages.select(*key, F.explode(shut).alias("supplier"))
+    return hits.join(out, [*key, "supplier"], "left_anti")
+
+
+def scores(hits: DataFrame, structural: DataFrame | None, key: list[str], penalties: dict[str, int] | None = None) -> DataFrame:
+    """(key..., supplier, hits, score) of alias hits and of the points of other rules, if there are any."""
+    both = hits.select(*key, "supplier", "hits", F.lit(0).cast("long").alias("points"))
+    if structural is not None:
+        both = both.unionByName(structural.select(*key, "supplier", F.lit(0).cast("long").alias("hits"), F.col("points").cast("long").alias("points")))
     total = both.groupBy(*key, "supplier").agg(F.sum("hits").alias("hits"), F.sum("points").alias("points"))
     off = F.lit(0)
     for supplier, points in (penalties or {}).items():
@@ -89,11 +105,18 @@ def scores(hits: DataFrame, structural: DataFrame, key: list[str], penalties: di
     return total.select(*key, "supplier", "hits", (F.col("hits") * ALIAS_POINTS + F.col("points") - off).alias("score"))
 
 
-def best(pages: DataFrame, scored: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., detected) of every page: most alias hits, then the score, then the name; without a positive score unknown."""
+def best(pages: DataFrame, scored: DataFrame, key: list[str], text: str | None = None, nobody: str | None = None) -> DataFrame:
+    """(key..., detected) of every page: most alias hits, then the score, then the name; without a positive score unknown.
+
+    ``nobody``: a pattern that makes a page nobody's, whatever else its ``text`` says.
+    """
     order = F.struct((-F.col("hits")).alias("h"), (-F.col("score")).alias("s"), F.col("supplier"))
     top = scored.where(F.col("score") > 0).groupBy(*key).agg(F.min(order).alias("o")).select(*key, F.col("o.supplier").alias("supplier"))
-    return pages.select(*key).join(top, key, "left").select(*key, F.coalesce("supplier", F.lit(UNKNOWN)).alias("detected"))
+    found = F.coalesce("supplier", F.lit(UNKNOWN))
+    if nobody:
+        found = F.when(F.col("_nobody"), F.lit(UNKNOWN)).otherwise(found)
+    stands = tx.fold_upper(F.coalesce(F.col(text), F.lit(""))).rlike(nobody) if nobody else F.lit(False)
+    return pages.select(*key, stands.alias("_nobody")).join(top, key, "left").select(*key, found.alias("detected"))
 
 
 def resolve_extractor(names: DataFrame, registry: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ class Layout:
     warning: str = ""
     note: str = r"ALBARAN\s*(?:N\S*)?\s*[:#-]?\s*([A-Z0-9/-]*[0-9]{3,}[A-Z0-9/-]*)"
     order_code: str = r"PEDIDO\s*[:#-]?\s*([0-9A-Z][0-9A-Z./-]{3,})"
-    total: str = r"(?:TOTAL|BASE IMPONIBLE|NETO)\D{0,30}([0-9][0-9.]*,[0-9]{2})"
+    total: str = r"\b(?:TOTAL|BASE IMPONIBLE|NETO)\b\D{0,30}([0-9][0-9.]*,[0-9]{2})"
     #: Orders of numbers that differ from the usual ones.
     orders: dict[int, list[str]] = field(default_factory=dict)
 

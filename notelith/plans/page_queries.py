@@ -53,6 +53,20 @@ def detect_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.best(_docs(spark, sf_dir), scored, ["doc_id"])
 
 
+GATES = {"Suministros Arkaldi": "ALBARAN|PEDIDO"}
+HINTS = [("Electro Beltzuri", "IMPORTE|TOTAL", 2), ("Bombas Artzubiaga", "FIRMA", 1)]
+NOBODY = "ABONO"
+
+
+def detect_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection with a gate for one supplier's hits, hints of further words, and a phrase that makes a document nobody's."""
+    docs = _docs(spark, sf_dir)
+    hits = detection.alias_hits(docs, ["doc_id"], "text", durable(_aliases(spark, sf_dir)))
+    hits = detection.gated(hits, docs, ["doc_id"], "text", GATES)
+    scored = detection.scores(hits, detection.text_hits(docs, ["doc_id"], "text", HINTS), ["doc_id"], {"Suministros Arkaldi": 1})
+    return detection.best(docs, scored, ["doc_id"], "text", NOBODY)
+
+
 def extractor_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names as they stand in catalogues, resolved to the extractors of note suppliers."""
     registry = table(spark, sf_dir, "note_meta").select(F.col("Proveedor").alias("supplier"), "Parser").distinct().withColumnRenamed("Parser", "parser")
@@ -290,7 +304,7 @@ def pages_with_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    alias_rules, detect_scores, detect_best, extractor_resolution, line_pairs, footer_page_flag, sheet_numbers, required_fields_missing, reference_fields_missing,
+    alias_rules, detect_scores, detect_best, detect_guarded, extractor_resolution, line_pairs, footer_page_flag, sheet_numbers, required_fields_missing, reference_fields_missing,
     noise_line_filter, stop_range_rows, head_window, continuation_islands, position_checks, lookahead_value, lookback_value, trailing_lines, candidate_ranking,
     block_choice, positional_zip, fifo_pairing, class_a_rows, class_b_row, generic_extract, fallback_rows, class_c_rows, layout_headers, class_c_rows_by_line,
     layout_headers_by_line, carry_forward_note,
@@ -403,6 +417,13 @@ SQL = {
     "layout_headers_by_line": _by_line(_LAYOUT_PAGES),
     "alias_rules": f"WITH {_ALIASES} SELECT supplier, alias FROM aliases",
     "detect_scores": _SCORES + " SELECT doc_id, supplier, hits, score FROM scored",
+    "detect_guarded": _SCORES + f""", gates(supplier, pattern) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in GATES.items())}),
+hints(supplier, pattern, points) AS (VALUES {", ".join(f"('{a}', '{b}', {n})" for a, b, n in HINTS)}),
+open_hits AS (SELECT h.* FROM hits h JOIN folded f ON f.doc_id = h.doc_id LEFT JOIN gates g ON g.supplier = h.supplier WHERE g.pattern IS NULL OR regexp_matches(t, g.pattern)),
+all_points AS (SELECT doc_id, supplier, hits, 0 points FROM open_hits UNION ALL SELECT doc_id, supplier, 0, points FROM folded JOIN hints ON regexp_matches(t, pattern)),
+ranked AS (SELECT doc_id, supplier, sum(hits) h, sum(hits) * 6 + sum(points) - CASE WHEN supplier = 'Suministros Arkaldi' THEN 1 ELSE 0 END s FROM all_points GROUP BY doc_id, supplier),
+top AS (SELECT doc_id, supplier FROM ranked WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, s DESC, supplier) = 1)
+SELECT f.doc_id, CASE WHEN regexp_matches(t, '{NOBODY}') THEN 'DESCONOCIDO' ELSE coalesce(supplier, 'DESCONOCIDO') END AS detected FROM folded f LEFT JOIN top ON top.doc_id = f.doc_id""",
     "detect_best": _SCORES
     + """, top AS (SELECT doc_id, supplier FROM scored WHERE hits > 0 AND score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, score DESC, supplier) = 1)
 SELECT d.doc_id, coalesce(supplier, 'DESCONOCIDO') AS detected FROM documents d LEFT JOIN top t ON t.doc_id = d.doc_id""",

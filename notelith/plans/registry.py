@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notelith.plans import data_quality, evaluation_queries, page_queries, scalar_queries, stream_queries, total_queries
+from notelith.plans import data_quality, evaluation_queries, page_queries, scalar_queries, stream_queries, supplier_queries, total_queries
 
-MODULES = [data_quality, scalar_queries, total_queries, evaluation_queries, page_queries, stream_queries]
+MODULES = [data_quality, scalar_queries, total_queries, evaluation_queries, page_queries, supplier_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
