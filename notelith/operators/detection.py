@@ -119,6 +119,12 @@ def best(pages: DataFrame, scored: DataFrame, key: list[str], text: str | None =
     return pages.select(*key, stands.alias("_nobody")).join(top, key, "left").select(*key, found.alias("detected"))
 
 
+def registered(registry: DataFrame, auxiliary: list[str]) -> DataFrame:
+    """The registry without helpers: names in a list, and those that start with an underscore."""
+    name = F.lower("parser")
+    return registry.where(~name.startswith("_") & ~name.isin([x.lower() for x in auxiliary]))
+
+
 def resolve_extractor(names: DataFrame, registry: DataFrame) -> DataFrame:
     """(name, parser): the extractor of the exact supplier, else of the longest supplier whose name contains it or is contained.
 

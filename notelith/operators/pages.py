@@ -88,6 +88,17 @@ def rows_between(lines: DataFrame, page: list[str], start: Column, stop: Column)
     return marked.where(inside).drop("_from", "_to")
 
 
+def target_pages(pages: DataFrame, page: str, wanted: str | None) -> DataFrame:
+    """The pages of a list such as ``1-3,5``; all of them if nothing is wanted. Reaches the scan as a filter."""
+    keep = None
+    for part in (wanted or "").split(","):
+        low, _, high = part.strip().partition("-")
+        if low:
+            hit = F.col(page).between(int(low), int(high or low))
+            keep = hit if keep is None else keep | hit
+    return pages if keep is None else pages.where(keep)
+
+
 def drop_noise(lines: Column, noise: str, required: str) -> Column:
     """Lines without those that are noise, unless they hold what is required."""
     return F.filter(lines, lambda x: ~(x.rlike(noise) & ~x.rlike(required)))

@@ -76,6 +76,12 @@ def by_supplier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_.groupBy("Proveedor").agg(*(F.count_if(F.col("side") == n).alias(n) for n in parts))
 
 
+def sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts by supplier with their place in the report: most missing lines first, then the name."""
+    counts = by_supplier_counts(spark, sf_dir).withColumn("least", -F.col("missing"))
+    return rows.global_index(counts, ["least", "Proveedor"]).select("Proveedor", "missing", "extra", F.col("idx").alias("place"))
+
+
 def week_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and amounts of each batch on both sides, and their differences."""
     week = F.regexp_extract("Pdf", "^([A-Z]+_[0-9]+)", 1)
@@ -144,7 +150,7 @@ def ffill_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    pred_truth_left_join, accuracy_by_supplier, top3_mismatches, cumcount, legacy_missing_extra, missing_lines_anti, extra_lines_anti, by_supplier_counts,
+    pred_truth_left_join, accuracy_by_supplier, top3_mismatches, cumcount, legacy_missing_extra, missing_lines_anti, extra_lines_anti, by_supplier_counts, sorted_report,
     week_summary, dedup_keep_last, dedup_longest, amount_keys, greedy_match, audit_line_score, audit_status_counts, ffill_location,
 )}
 
@@ -195,6 +201,10 @@ def _greedy() -> str:
     return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT {i} AS tier, count(*) AS matches FROM t{i}" for i in range(len(_TIERS)))
 
 
+_COUNTS = f"""WITH u AS (SELECT Proveedor, 'truth' side FROM lines_master UNION ALL SELECT Proveedor, 'run' FROM lines_run
+  UNION ALL SELECT Proveedor, 'missing' FROM ({_MISSING.format(a="lines_master", b="lines_run")}) UNION ALL SELECT Proveedor, 'extra' FROM ({_MISSING.format(a="lines_run", b="lines_master")}))
+SELECT Proveedor, count(*) FILTER (side = 'truth') AS truth, count(*) FILTER (side = 'run') AS run, count(*) FILTER (side = 'missing') AS missing, count(*) FILTER (side = 'extra') AS extra FROM u GROUP BY Proveedor"""
+
 SQL = {
     "greedy_match": _greedy(),
     "pred_truth_left_join": _COMPARED + f" SELECT {_KEYS}, updated_at, {', '.join(f'ok_{f}' for f in FIELDS)}, ok FROM d",
@@ -209,9 +219,8 @@ j AS (SELECT coalesce(r.Proveedor, m.Proveedor) Proveedor, CASE WHEN m.p IS NULL
 SELECT Proveedor, side, count(*) AS rows FROM j GROUP BY Proveedor, side""",
     "missing_lines_anti": _MISSING.format(a="lines_master", b="lines_run"),
     "extra_lines_anti": _MISSING.format(a="lines_run", b="lines_master"),
-    "by_supplier_counts": f"""WITH u AS (SELECT Proveedor, 'truth' side FROM lines_master UNION ALL SELECT Proveedor, 'run' FROM lines_run
-  UNION ALL SELECT Proveedor, 'missing' FROM ({_MISSING.format(a="lines_master", b="lines_run")}) UNION ALL SELECT Proveedor, 'extra' FROM ({_MISSING.format(a="lines_run", b="lines_master")}))
-SELECT Proveedor, count(*) FILTER (side = 'truth') AS truth, count(*) FILTER (side = 'run') AS run, count(*) FILTER (side = 'missing') AS missing, count(*) FILTER (side = 'extra') AS extra FROM u GROUP BY Proveedor""",
+    "by_supplier_counts": _COUNTS,
+    "sorted_report": f"SELECT Proveedor, missing, extra, row_number() OVER (ORDER BY missing DESC, Proveedor) AS place FROM ({_COUNTS})",
     "week_summary": f"""WITH u AS (SELECT regexp_extract(Pdf, '^([A-Z]+_[0-9]+)', 1) w, 'run' side, CAST(Importe AS DECIMAL(18, 4)) a FROM {_R} UNION ALL SELECT regexp_extract(Pdf, '^([A-Z]+_[0-9]+)', 1), 'truth', CAST(Importe AS DECIMAL(18, 4)) FROM {_M}),
 g AS (SELECT w, count(*) FILTER (side = 'run') r, count(*) FILTER (side = 'truth') t, coalesce(sum(a) FILTER (side = 'run'), 0) x, coalesce(sum(a) FILTER (side = 'truth'), 0) y FROM u GROUP BY w)
 SELECT w AS week, r AS run, t AS truth, r - t AS delta, CAST(round(x - y, 2) AS DOUBLE) AS amount_delta FROM g""",

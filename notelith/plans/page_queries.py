@@ -80,6 +80,18 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.window_hits(_all_lines(spark, sf_dir), ["doc_id"], HEADS)
 
 
+def target_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes on the pages that a run is asked for."""
+    return pages.target_pages(table(spark, sf_dir, "note_meta"), "Pagina", "1, 3-4").select("Pdf", "Pagina", "Proveedor")
+
+
+def registry_without_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes' extractors without helpers."""
+    known = table(spark, sf_dir, "note_meta").select(F.col("Proveedor").alias("supplier"), F.col("Parser").alias("parser")).distinct()
+    helpers = known.select("supplier", F.concat(F.lit("_"), "parser").alias("parser"))
+    return detection.registered(known.unionByName(helpers), ["SUR", "norte"])
+
+
 def footer_page_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", pages.footer_only("text", TABLE_HINTS, FOOTER_WORDS).alias("footer"))
 
@@ -304,7 +316,7 @@ def pages_with_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    alias_rules, detect_scores, detect_best, detect_guarded, extractor_resolution, line_pairs, footer_page_flag, sheet_numbers, required_fields_missing, reference_fields_missing,
+    alias_rules, target_pages, registry_without_helpers, detect_scores, detect_best, detect_guarded, extractor_resolution, line_pairs, footer_page_flag, sheet_numbers, required_fields_missing, reference_fields_missing,
     noise_line_filter, stop_range_rows, head_window, continuation_islands, position_checks, lookahead_value, lookback_value, trailing_lines, candidate_ranking,
     block_choice, positional_zip, fifo_pairing, class_a_rows, class_b_row, generic_extract, fallback_rows, class_c_rows, layout_headers, class_c_rows_by_line,
     layout_headers_by_line, carry_forward_note,
@@ -417,6 +429,8 @@ SQL = {
     "layout_headers_by_line": _by_line(_LAYOUT_PAGES),
     "alias_rules": f"WITH {_ALIASES} SELECT supplier, alias FROM aliases",
     "detect_scores": _SCORES + " SELECT doc_id, supplier, hits, score FROM scored",
+    "target_pages": "SELECT Pdf, Pagina, Proveedor FROM note_meta WHERE Pagina = 1 OR Pagina BETWEEN 3 AND 4",
+    "registry_without_helpers": "SELECT DISTINCT Proveedor AS supplier, Parser AS parser FROM note_meta WHERE lower(Parser) NOT IN ('sur', 'norte') AND NOT starts_with(Parser, '_')",
     "detect_guarded": _SCORES + f""", gates(supplier, pattern) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in GATES.items())}),
 hints(supplier, pattern, points) AS (VALUES {", ".join(f"('{a}', '{b}', {n})" for a, b, n in HINTS)}),
 open_hits AS (SELECT h.* FROM hits h JOIN folded f ON f.doc_id = h.doc_id LEFT JOIN gates g ON g.supplier = h.supplier WHERE g.pattern IS NULL OR regexp_matches(t, g.pattern)),

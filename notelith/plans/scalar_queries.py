@@ -232,11 +232,22 @@ def price_per_hundred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("line_id", F.round(numeric.per_hundred("PrecioUnitario", F.coalesce(marked, F.lit(""))), 6).alias("price"))
 
 
+def small_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose amount could be a recycling fee."""
+    return _lines(spark, sf_dir).select("line_id", F.coalesce(numeric.small_value("Importe"), F.lit(False)).alias("small"))
+
+
+def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions that were read in the wrong encoding, and back."""
+    broken = F.decode(F.encode(F.coalesce("Descripcion", F.lit("")), "UTF-8"), "ISO-8859-1")
+    return _lines(spark, sf_dir).select("line_id", (tx.repair_mojibake(broken) == F.coalesce("Descripcion", F.lit(""))).alias("same"))
+
+
 QUERIES = {f.__name__: f for f in (
     normalize_spaces, fold_upper, key_tokens, glyph_repair, first_match_extract, first_match_lines, decimals_in_line, header_index, strip_counters,
     text_metrics, text_entropy, ocr_trigger_reasons, union_text_variants, to_float_es, collapse_numbers, money_round, calc_amount, effective_quantity,
     unit_factor, split_glued, parse_date_es, date_from_code, year_from_path, order_code_clean, order_code_truncate, order_code_normalize,
-    order_code_suffix, code_quality_score, note_plausibility, date_words, fuzzy_decimals, quantity_blocks, line_guards, price_per_hundred,
+    order_code_suffix, code_quality_score, note_plausibility, date_words, fuzzy_decimals, quantity_blocks, line_guards, price_per_hundred, small_fees, mojibake_repair,
 )}
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
@@ -408,6 +419,8 @@ SELECT doc_id, CAST(len(u) AS INT) AS lines, coalesce(length(array_to_string(u,
   WHEN CantidadPendiente > 0 THEN CantidadPendiente ELSE 1 END AS quantity FROM detail_lines""",
     "unit_factor": """SELECT rec_id, CASE ltrim(UnidadesPor, '/') WHEN 'U' THEN 1 WHEN 'D' THEN 10 WHEN 'C' THEN 100 WHEN 'M' THEN 1000 WHEN 'P' THEN 1000
   ELSE coalesce(try_cast(UnidadesPor AS DOUBLE), 1) END AS factor FROM qty_records""",
+    "small_fees": "SELECT line_id, coalesce(Importe > 0 AND Importe < 5, FALSE) AS small FROM detail_lines",
+    "mojibake_repair": "SELECT line_id, TRUE AS same FROM detail_lines",
     "split_glued": f"""WITH r AS (SELECT line_id, CantidadServida q, {sql_round("PrecioUnitario", 2)} p, {sql_round("DescuentoPct", 2)} d FROM detail_lines
   WHERE PrecioUnitario BETWEEN 0.1 AND 9999 AND DescuentoPct > 0 AND DescuentoPct < 100 AND CantidadServida > 0),
 g AS (SELECT line_id, q, CAST(CAST(round(p * 100) AS BIGINT) AS VARCHAR) || CAST(CAST(round(d * 100) AS BIGINT) AS VARCHAR) digits, {sql_round("q * p * (1 - d / 100)", 2)} amount FROM r),

@@ -18,7 +18,10 @@ TRACE_COLUMNS = [
 ]
 
 
-def write(df: DataFrame, path: str, form: str = "parquet") -> None:
+def write(df: DataFrame, path: str, form: str = "parquet", order: list[str] | None = None) -> None:
+    """``order``: the files in the order of their names hold the rows in this order; ranges are sorted, not all rows in one task."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = df.write.mode("overwrite")
     (writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path))
 
@@ -72,6 +75,19 @@ def write_summary(spark: SparkSession, summary: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(summary, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/resumen")
 
 
+def write_checks(checks: DataFrame, path: str, run: str) -> dict:
+    """Results of checks (name, passed, message) of a run as JSON, CSV and text, and what the latest run is; returns its counts."""
+    spark = checks.sparkSession
+    counts = checks.agg(F.count("*").alias("checks"), F.count_if("passed").alias("passed")).first().asDict()
+    checks.write.mode("overwrite").json(f"{path}/{run}/json")
+    write(checks, f"{path}/{run}/csv", "csv", ["name"])
+    line = F.format_string("%s %s %s", F.when(F.col("passed"), "PASS").otherwise("FAIL"), F.col("name"), F.coalesce("message", F.lit("")))
+    checks.select(F.trim(line).alias("value")).write.mode("overwrite").text(f"{path}/{run}/txt")
+    latest = {"run": run, "path": f"{path}/{run}", **counts}
+    spark.createDataFrame([(json.dumps(latest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/latest")
+    return counts
+
+
 def write_debug(steps: DataFrame, path: str, level: int, least: int = 1) -> bool:
     """What each step of a page found, as JSON by document; only from a level of detail on."""
     if level < least:

@@ -75,6 +75,19 @@ def test_sinks(spark, sf, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "x/resumen")).first().value) == {"pages": 3}
 
 
+def test_reports_in_order_and_checks(spark, tmp_path):
+    import glob
+
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k", "id").repartition(5)
+    sinks.write(df, str(tmp_path / "o"), "csv", ["k"])
+    keys = [int(line.split(",")[0]) for f in sorted(glob.glob(str(tmp_path / "o/*.csv"))) for line in open(f).read().split()[1:]]
+    assert keys == list(range(1000))
+    checks = spark.createDataFrame([("b", True, None), ("a", False, "off by one")], "name string, passed boolean, message string")
+    assert sinks.write_checks(checks, str(tmp_path / "c"), "r1") == {"checks": 2, "passed": 1}
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "c/r1/txt")).collect()) == ["FAIL a off by one", "PASS b"]
+    assert json.loads(spark.read.text(str(tmp_path / "c/latest")).first().value)["run"] == "r1"
+
+
 def test_late_pages_are_left_out(spark, tmp_path):
     t = datetime.datetime(2024, 3, 1)
     schema = "ts timestamp, k string"
