@@ -5,6 +5,7 @@ PDF text and recognition need libraries that may be missing; they are imported w
 
 from __future__ import annotations
 
+import io
 import json
 import os
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelith.sources import pdf_text
+
 PAGE_SCHEMA = "path string, pdf string, page int, width double, height double, text string"
 WORDS = "array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>"
 
@@ -26,24 +29,29 @@ def document_set(spark: SparkSession, path: str, recursive: bool = False) -> Dat
     return reader.load(path).select("path", F.col("modificationTime").alias("modified"), "length")
 
 
+def _pdf_pages(content: bytes, words: bool) -> list[tuple]:
+    """(width, height, text, words) of each page: by pdfplumber where a worker has it, else by the reader of simple files."""
+    boxes = lambda found: [{k: w[k] for k in ("text", "x0", "x1", "top", "bottom")} for w in found] if words else None
+    try:
+        import pdfplumber
+    except ImportError:
+        return [(p.width, p.height, p.text, boxes(p.words)) for p in pdf_text.Document(content).pages]
+    with pdfplumber.open(io.BytesIO(content)) as doc:
+        return [(float(p.width), float(p.height), p.extract_text() or "", boxes(p.extract_words())) for p in doc.pages]
+
+
 def read_pdf_pages(spark: SparkSession, path: str, recursive: bool = False, words: bool = False) -> DataFrame:
     """Pages with their embedded text (and words with their boxes); an unreadable file gives one page 0 without text."""
     schema = PAGE_SCHEMA + (f", words {WORDS}" if words else "")
 
     def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import pdfplumber
-
         for frame in frames:
             out = []
             for row in frame.itertuples():
                 name = os.path.basename(row.path)
                 try:
-                    with pdfplumber.open(io.BytesIO(row.content)) as doc:
-                        for n, p in enumerate(doc.pages, 1):
-                            boxes = [{k: w[k] for k in ("text", "x0", "x1", "top", "bottom")} for w in p.extract_words()] if words else None
-                            out.append((row.path, name, n, float(p.width), float(p.height), p.extract_text() or "", boxes))
+                    for n, (width, height, text, boxes) in enumerate(_pdf_pages(row.content, words), 1):
+                        out.append((row.path, name, n, width, height, text, boxes))
                 except Exception:  # a broken file must not end the run
                     out.append((row.path, name, 0, None, None, None, None))
             columns = ["path", "pdf", "page", "width", "height", "text", "words"]

@@ -22,6 +22,60 @@ def test_page_sources(spark, tmp_path):
     assert [tuple(r) for r in pages.read_lines_csv(spark, str(tmp_path / "l.csv"), "a int, b string").collect()] == [(1, "x"), (None, "y")]
 
 
+def pdf_of(pages_of_lines, packed):
+    """A small file: each page's lines as (x, y, text), with a font in WinAnsi encoding and one with a map to Unicode."""
+    import zlib
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /FirstChar 32 /Widths [278 500] >>"}
+    cmap = b"1 beginbfchar <0041> <00D1> endbfchar 1 beginbfrange <0100> <0102> <0061> endbfrange"
+    objects[4] = b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>"
+    objects[5] = b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap)
+    kids = []
+    for i, lines in enumerate(pages_of_lines):
+        ops = b"BT /F1 10 Tf " + b" ".join(b"1 0 0 1 %d %d Tm %s" % (x, y, t) for x, y, t in lines) + b" ET"
+        data, how = (zlib.compress(ops), b"/Filter /FlateDecode") if packed else (ops, b"")
+        objects[20 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (21 + 2 * i)
+        objects[21 + 2 * i] = b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(data), how, data)
+        kids.append(b"%d 0 R" % (20 + 2 * i))
+    objects[2] = b"<< /Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % (b" ".join(kids), len(kids))
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % x for x in sorted(objects.items())) + b"\ntrailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_pages_words_and_regions(spark, tmp_path):
+    one = [(50, 800, rb"(Albar\341n \(copia\)) Tj"), (300, 800, b"[(12) -20 (345)] TJ"), (50, 780, b"(Codigo  Importe) Tj 0 -12 Td (segunda) Tj"), (50, 700, b"/F2 10 Tf <0041010001010102> Tj")]
+    for name, packed in (("a.pdf", True), ("b.pdf", False)):
+        (tmp_path / name).write_bytes(pdf_of([one, [(10, 10, b"(fin) Tj")]], packed))
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4 nonsense")
+    (tmp_path / "d.pdf").write_bytes(b"no pdf")
+    found = pages.read_pdf_pages(spark, str(tmp_path), words=True)
+    rows = {(r.pdf, r.page): r for r in found.collect()}
+    for name in ("a.pdf", "b.pdf"):
+        page = rows[name, 1]
+        assert page.text == "Albarán (copia) 12345\nCodigo Importe\nsegunda\nÑabc" and rows[name, 2].text == "fin"
+        assert (page.width, page.height) == (595, 842) and [w.text for w in page.words if w.x0 > 200] == ["12345"]
+        word = page.words[0]
+        assert word.text == "Albarán" and abs(word.bottom - 42) < 0.01 and word.x1 > word.x0 == 50
+    counts = {r.path[-5:]: r.pages for r in pages.page_counts(found).collect()}
+    assert counts["a.pdf"] == counts["b.pdf"] == 2 and counts["c.pdf"] == counts["d.pdf"] == 0
+
+
+def test_programs_that_recognise(tmp_path):
+    """Stand-ins for the programs: what they are called with, a second try without cleaning, failures."""
+    ocr = tmp_path / "ocr"
+    ocr.write_text('#!/bin/sh\necho "$*"; cat\n')
+    picky = tmp_path / "picky"
+    picky.write_text('#!/bin/sh\nfor a in "$@"; do [ "$a" = --clean ] && exit 3; done\necho "layer $*"; cat\n')
+    broken = tmp_path / "broken"
+    broken.write_text("#!/bin/sh\nexit 1\n")
+    for x in (ocr, picky, broken):
+        x.chmod(0o755)
+    assert recognition.command_engine(str(ocr), "--psm", "11")(b"text") == "stdin stdout --psm 11\ntext"
+    assert recognition.searchable_pdf(str(picky), "--clean", "-l", "spa")(b"pdf") == b"layer -l spa - -\npdf"
+    assert recognition.command_engine(str(broken))(b"x") == "" and recognition.searchable_pdf(str(broken), "--clean")(b"x") == b"x"
+    both = recognition.union_engine(recognition.command_engine(str(ocr)), recognition.command_engine(str(broken)), lambda b: "text\nmore")
+    assert both(b"text") == "stdin stdout\ntext\nmore"
+
+
 def test_settings(tmp_path):
     assert pages.load_settings(str(tmp_path)) == {} or isinstance(pages.load_settings(str(tmp_path)), dict)
     pages.save_settings({"a": "ñ"}, str(tmp_path))
