@@ -1,11 +1,15 @@
 """Repair of quantities, prices, discounts and amounts, and the audit of every line's arithmetic.
 
-The repair is a chain of stages; each stage is a ``let`` over a struct, so the plan grows with the number of rules and
-not with the product of their sizes.
+The repair applies rules, which are data, one after the other; each is a ``let`` over a struct, so the plan grows with the
+number of rules and not with the product of their sizes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,80 +27,87 @@ def _state(q: Column, p: Column, a: Column, d: Column, u: Column) -> Column:
     return F.struct(q.alias("q"), p.alias("p"), a.alias("a"), d.alias("d"), u.alias("u"))
 
 
-def _factor(s: Column) -> Column:
-    return (100 - F.coalesce(s["d"], F.lit(0.0))) / 100
+def _some(*xs: Column) -> Column:
+    return reduce(lambda a, b: a & b, (x.isNotNull() & (x != 0) for x in xs))
 
 
-def _some(*xs: Column) -> Column:
-    ok = F.lit(True)
-    for x in xs:
-        ok = ok & x.isNotNull() & (x != 0)
-    return ok
+class Line:
+    """A line's numbers (quantity, price, amount, discount, per) and what follows from them."""
+
+    def __init__(self, state: Column):
+        self.q, self.p, self.a, self.d, self.u = (state[x] for x in "qpadu")
+        self.factor = (100 - F.coalesce(self.d, F.lit(0.0))) / 100
+        #: What one piece costs after the discount, and what all of them do.
+        self.unit = self.p * self.factor
+        self.expected = self.q / self.u * self.p * self.factor
+
+    def near(self, x: Column, y: Column, share: float) -> Column:
+        """Whether two values are within a share of the amount."""
+        return F.abs(x - y) <= share * F.greatest(F.lit(1.0), self.a)
+
+    def amount_of(self, q: Column) -> Column:
+        return _dec(q / self.u * self.p * self.factor, 2)
 
 
-def _amount(q: Column, s: Column) -> Column:
-    return _dec(q / s["u"] * s["p"] * _factor(s), 2)
+@dataclass(frozen=True)
+class Rule:
+    """Where the numbers of ``needs`` are there (not null, not 0), that of ``lacks`` isn't, and ``when`` holds, ``put`` gives new ones."""
 
+    name: str
+    needs: str
+    put: dict[str, Callable[[Line], Column]]
+    when: Callable[[Line], Column] = lambda x: F.lit(True)
+    lacks: str = ""
 
-def _rules():
-    """Each takes the state and gives the next one."""
+    def __call__(self, state: Column) -> Column:
+        line = Line(state)
+        hit = _some(*(getattr(line, n) for n in self.needs)) & self.when(line)
+        for n in self.lacks:
+            hit = hit & ~_some(getattr(line, n))
+        return F.struct(*((F.when(hit, self.put[n](line)).otherwise(state[n]) if n in self.put else state[n]).alias(n) for n in "qpadu"))
 
-    def price_from_amount(s):
-        return _state(s["q"], F.when(~_some(s["p"]) & _some(s["q"], s["a"]), s["a"] / s["q"]).otherwise(s["p"]), s["a"], s["d"], s["u"])
 
-    def quantity_from_amount(s):
-        return _state(F.when(~_some(s["q"]) & _some(s["p"], s["a"]), s["a"] / s["p"]).otherwise(s["q"]), s["p"], s["a"], s["d"], s["u"])
+def _fewer(x: Line) -> Column:
+    return F.try_divide(x.a, x.unit) * x.u
 
-    def amount_is_price(s):
-        near = F.abs(s["a"] - s["p"]) <= 0.1 * F.greatest(F.lit(1.0), s["a"])
-        hit = _some(s["q"], s["p"], s["a"]) & (s["q"] > 10) & F.coalesce(s["d"] < 5, F.lit(True)) & near
-        return _state(F.when(hit, _dec(s["a"] / s["p"], 2)).otherwise(s["q"]), s["p"], s["a"], s["d"], s["u"])
 
-    def one_piece(s):
-        unit = s["p"] * _factor(s)
-        hit = _some(s["q"], s["p"], s["a"]) & (s["q"] > 1) & (unit > 0) & (F.abs(s["a"] - unit) <= 0.1 * F.greatest(s["a"], F.lit(1.0)))
-        return _state(F.when(hit, 1.0).otherwise(s["q"]), s["p"], F.when(hit, _amount(F.lit(1.0), s)).otherwise(s["a"]), s["d"], s["u"])
+def _price(x: Line) -> Column:
+    """The price that the amount asks for, given the discount."""
+    return F.try_divide(x.a * x.u, x.q * ((100 - x.d) / 100))
 
-    def far_too_many(s):
-        expected = s["q"] / s["u"] * s["p"] * _factor(s)
-        hit = _some(s["q"], s["p"], s["a"]) & (expected > 0) & (s["a"] > 0) & (s["q"] > 50) & (s["p"] > 1) & (s["a"] < expected * 0.2)
-        return _state(F.when(hit, _dec(F.try_divide(s["a"], s["p"] * _factor(s)) * s["u"], 2)).otherwise(s["q"]), s["p"], s["a"], s["d"], s["u"])
 
-    def five_times_too_much(s):
-        unit = s["p"] * _factor(s)
-        fewer = F.try_divide(s["a"], unit) * s["u"]
-        hit = _some(s["q"], s["p"], s["a"]) & (unit > 0) & (s["q"] / s["u"] * unit > s["a"] * 5) & (fewer > 0)
-        q = _dec(fewer, 2)
-        return _state(F.when(hit, q).otherwise(s["q"]), s["p"], F.when(hit, _amount(q, s)).otherwise(s["a"]), s["d"], s["u"])
+def _discount(x: Line) -> Column:
+    return 100 * (1 - F.try_divide(x.a, x.q * x.p))
 
-    def price_off(s):
-        f = (100 - s["d"]) / 100
-        other = F.try_divide(s["a"] * s["u"], s["q"] * f)
-        off = F.abs(other - s["p"]) / F.greatest(other, s["p"], F.lit(1e-6))
-        hit = _some(s["q"], s["a"], s["p"]) & s["d"].isNotNull() & (f > 0) & (other > 0) & (off > TOLERANCE)
-        return _state(s["q"], F.when(hit, _dec(other, 4)).otherwise(s["p"]), s["a"], s["d"], s["u"])
 
-    def discount_missing(s):
-        base = s["q"] * s["p"]
-        found = 100 * (1 - F.try_divide(s["a"], base))
-        hit = _some(s["q"], s["p"], s["a"]) & F.coalesce((s["d"] < 0) | (s["d"] > 80), F.lit(True)) & (base > 0) & found.between(0, 80)
-        return _state(s["q"], s["p"], s["a"], F.when(hit, _dec(found, 2)).otherwise(s["d"]), s["u"])
+def _price_of_all(x: Line) -> Column:
+    return F.try_divide(x.a, x.q * x.factor)
 
-    def price_too_low(s):
-        f = _factor(s)
-        expected = F.try_divide(s["a"], s["q"] * f)
-        apart = F.abs(s["a"] - s["q"] * s["p"] * f) > TOLERANCE * F.greatest(F.lit(1.0), s["a"])
-        hit = _some(s["q"], s["a"], s["p"]) & (s["p"] > 0) & (expected > 0) & (s["p"] < expected * 0.5) & apart & F.coalesce(s["d"] <= 60, F.lit(True))
-        return _state(s["q"], F.when(hit, expected).otherwise(s["p"]), s["a"], s["d"], s["u"])
 
-    def amount_missing(s):
-        hit = _some(s["q"], s["p"]) & s["a"].isNull()
-        return _state(s["q"], s["p"], F.when(hit, _amount(s["q"], s)).otherwise(s["a"]), s["d"], s["u"])
+_unless_null = lambda c: F.coalesce(c, F.lit(True))
 
-    return [
-        price_from_amount, quantity_from_amount, amount_is_price, one_piece, far_too_many, five_times_too_much, price_off, discount_missing,
-        price_too_low, amount_missing,
-    ]
+# The conditions and bounds under which a number is replaced, in the order in which they apply.
+RULES = [
+    Rule("price_from_amount", "qa", {"p": lambda x: x.a / x.q}, lacks="p"),
+    Rule("quantity_from_amount", "pa", {"q": lambda x: x.a / x.p}, lacks="q"),
+    Rule("amount_is_price", "qpa", {"q": lambda x: _dec(x.a / x.p, 2)}, lambda x: (x.q > 10) & _unless_null(x.d < 5) & x.near(x.a, x.p, 0.1)),
+    Rule("one_piece", "qpa", {"q": lambda x: F.lit(1.0), "a": lambda x: x.amount_of(F.lit(1.0))}, lambda x: (x.q > 1) & (x.unit > 0) & x.near(x.a, x.unit, 0.1)),
+    Rule("far_too_many", "qpa", {"q": lambda x: _dec(_fewer(x), 2)}, lambda x: (x.expected > 0) & (x.a > 0) & (x.q > 50) & (x.p > 1) & (x.a < x.expected * 0.2)),
+    Rule(
+        "five_times_too_much", "qpa", {"q": lambda x: _dec(_fewer(x), 2), "a": lambda x: x.amount_of(_dec(_fewer(x), 2))},
+        lambda x: (x.unit > 0) & (x.q / x.u * x.unit > x.a * 5) & (_fewer(x) > 0),
+    ),
+    Rule(
+        "price_off", "qap", {"p": lambda x: _dec(_price(x), 4)},
+        lambda x: x.d.isNotNull() & (x.d < 100) & (_price(x) > 0) & (F.abs(_price(x) - x.p) / F.greatest(_price(x), x.p, F.lit(1e-6)) > TOLERANCE),
+    ),
+    Rule("discount_missing", "qpa", {"d": lambda x: _dec(_discount(x), 2)}, lambda x: _unless_null((x.d < 0) | (x.d > 80)) & (x.q * x.p > 0) & _discount(x).between(0, 80)),
+    Rule(
+        "price_too_low", "qap", {"p": _price_of_all},
+        lambda x: (x.p > 0) & (_price_of_all(x) > 0) & (x.p < _price_of_all(x) * 0.5) & ~x.near(x.a, x.q * x.p * x.factor, TOLERANCE) & _unless_null(x.d <= 60),
+    ),
+    Rule("amount_missing", "qp", {"a": lambda x: x.amount_of(x.q)}, lambda x: x.a.isNull()),
+]
 
 
 def repaired(quantity: Column, price: Column, discount: Column, amount: Column, per: Column) -> Column:
@@ -105,10 +116,10 @@ def repaired(quantity: Column, price: Column, discount: Column, amount: Column,
     start = _state(quantity, price, amount, discount, unit)
 
     def run(s: Column) -> Column:
-        expected = s["q"] / s["u"] * s["p"] * _factor(s)
+        expected = Line(s).expected
         fits = (s["u"] > 1) & _some(s["q"], s["p"], s["a"]) & (expected != 0) & (F.abs(expected - s["a"]) <= F.greatest(F.lit(TOLERANCE), 0.05 * F.abs(expected)))
         chain = s
-        for rule in _rules():
+        for rule in RULES:
             chain = let(chain, rule)
         return F.when(F.coalesce(fits, F.lit(False)), s).otherwise(let(chain, lambda r: _state(r["q"], r["p"], F.coalesce(s["a"], r["a"]), r["d"], r["u"])))
 
