@@ -22,25 +22,31 @@ def pairs(spark, rows):
     return {tuple(r) for r in units.equal_pairs(units.common_units(frame(spark, rows))).collect()}
 
 
-@pytest.mark.parametrize(
-    "row, want",
-    [
-        (("Cable", "1.300,00", "mt.", "C", "76,25"), (1300, 0.7625, "m")),
-        (("Cable (cant. en mm)", "2993000", None, "10", "0,4053 cént."), (2993, 0.4053, "m")),
-        (("Cinta", "119.72", None, "1", "10,13 €/rollo de 25 m"), (2993, 0.4052, "m")),
-        (("Perfil", "0,12bobina 0,5 km", None, None, "516.30"), (60, 1.0326, "m")),
-        (("Taco", "13,5", None, None, "85.05 eur por cto."), (1350, 0.8505, "ud")),
-        (("Terminal", "450 ud", None, None, "625,8 €/ 100 uds."), (450, 6.258, "ud")),
-        (("Remache", "200", "par", "1000", "879"), (400, 0.4395, "ud")),
-        (("Barniz", "1,25", "m³", "M", "532,500.00"), (1250, 0.5325, "l")),
-        (("Aceite servido por L", "12", None, None, "0,5150 por 10"), (12, 0.0515, "l")),
-        (("Arandela", "3caja de 50", None, None, "20.70"), (150, 0.414, "ud")),
-        (("Saco", "0,84", "saco 25kg", "/D", "5663 céntimos"), (21, 0.226520, "kg")),
-        (("Sin unidad", "-2", None, "raro", "1"), (-2, 1, None)),
-    ],
-)
-def test_reading(spark, row, want):
-    q, p, base = converted(spark, [("n", "c", *row)])[1]
+READINGS = [
+    (("Cable", "1.300,00", "mt.", "C", "76,25"), (1300, 0.7625, "m")),
+    (("Cable (cant. en mm)", "2993000", None, "10", "0,4053 cént."), (2993, 0.4053, "m")),
+    (("Cinta", "119.72", None, "1", "10,13 €/rollo de 25 m"), (2993, 0.4052, "m")),
+    (("Perfil", "0,12bobina 0,5 km", None, None, "516.30"), (60, 1.0326, "m")),
+    (("Taco", "13,5", None, None, "85.05 eur por cto."), (1350, 0.8505, "ud")),
+    (("Terminal", "450 ud", None, None, "625,8 €/ 100 uds."), (450, 6.258, "ud")),
+    (("Remache", "200", "par", "1000", "879"), (400, 0.4395, "ud")),
+    (("Barniz", "1,25", "m³", "M", "532,500.00"), (1250, 0.5325, "l")),
+    (("Aceite servido por L", "12", None, None, "0,5150 por 10"), (12, 0.0515, "l")),
+    (("Arandela", "3caja de 50", None, None, "20.70"), (150, 0.414, "ud")),
+    (("Saco", "0,84", "saco 25kg", "/D", "5663 céntimos"), (21, 0.226520, "kg")),
+    (("Sin unidad", "-2", None, "raro", "1"), (-2, 1, None)),
+]
+
+
+@pytest.fixture(scope="module")
+def readings(spark):
+    return converted(spark, [("n", f"c{i}", *row) for i, (row, _) in enumerate(READINGS)])
+
+
+@pytest.mark.parametrize("i", range(len(READINGS)))
+def test_reading(readings, i):
+    want = READINGS[i][1]
+    q, p, base = readings[i + 1]
     assert (q, p, base) == (pytest.approx(want[0]), pytest.approx(want[1], rel=1e-3), want[2])
 
 
